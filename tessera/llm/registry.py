@@ -25,10 +25,10 @@ def op4_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLES["op4_hyperminhash"] = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 one AS (SELECT min(doc_id) AS r, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
 items AS (SELECT r, unnest(s) AS x FROM one),
 common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
