@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, divergence_rules, hyperminhash
+from tessera.llm import bpe, divergence_rules, hyperminhash, hyperplane_dedup
 from tessera.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,22 @@ def op4_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@_query
+def op10_hyperplanes(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperplane_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+ORACLES["op10_hyperplanes"] = r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(r, t) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t),
+least AS (SELECT r, min(t) AS m FROM reach GROUP BY r),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
+FROM embeddings JOIN least ON r = vec_id LEFT JOIN degree ON a = vec_id"""
+
 ORACLES["op4_hyperminhash"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
