@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, divergence_rules, hyperminhash, hyperplane_dedup
-from tessera.llm.shared import table
+from tessera.llm import bpe, brown_lm, divergence_rules, hyperminhash, hyperplane_dedup
+from tessera.llm.shared import bit_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op4_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@_query
+def op9_brown_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf, "documents"), bit_of_id("doc_id", 7) == 2)
+
+
 @_query
 def op10_hyperplanes(spark: SparkSession, sf: str) -> DataFrame:
     return hyperplane_dedup.near_duplicates(table(spark, sf, "embeddings"))
