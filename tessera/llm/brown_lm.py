@@ -234,7 +234,7 @@ def _bigrams(docs: DataFrame, common: np.ndarray) -> np.ndarray:
 
     parts = docs.select("held_out", "text").mapInArrow(count, "unit long, n binary")
     out = np.zeros((UNITS, UNITS), np.int64)
-    for r in map_runs(parts, ["unit"], [], add, "unit long, n binary").toLocalIterator():
+    for r in map_runs(parts, ["unit"], [], add, "unit long, n binary").collect():
         out[r["unit"]] = _unpack(r["n"], np.int64)
     return out
 
@@ -320,7 +320,7 @@ class Model:
 def _model(replies: DataFrame, docs: DataFrame) -> Model:
     stats = np.zeros(2 * ENDINGS + 2, np.int64)
     heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for r in replies.where("kind = 3").select("a", "b", "c").toLocalIterator():
+    for r in replies.where("kind = 3").select("a", "b", "c").coalesce(8).toLocalIterator():
         stats += _unpack(r["c"], np.int64)
         if r["a"]:
             h, n = np.concatenate([heads[0], _unpack(r["a"], np.uint64)]), np.concatenate([heads[1], _unpack(r["b"], np.int64)])

@@ -144,7 +144,7 @@ def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, at int, n long")
     total: dict[str, np.ndarray] = {}
-    for r in rows.groupBy("lang", "at").agg(F.sum("n").alias("n")).where("n > 0").toLocalIterator():
+    for r in rows.groupBy("lang", "at").agg(F.sum("n").alias("n")).where("n > 0").collect():
         total.setdefault(r["lang"], np.zeros(len(CLASSES) + BINS))[r["at"]] = r["n"]
     if not total:
         return None

@@ -38,8 +38,9 @@ BAND = 4
 MANTISSA = 10
 #: Estimates below PERCENT by more than this many standard errors are not verified (1 in a million).
 ERRORS = 5.0
-#: Members of a bucket that are compared with one another in one task at a time.
+#: Members of a bucket that are compared with one another in one task at a time, and hashes of theirs.
 BLOCK = 512
+COLUMNS = 8192
 #: Members of one leader that are verified in one task at a time.
 STAR = 1024
 
@@ -194,30 +195,80 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     return map_runs(leaders.union(members), ["a", "salt"], ["kind"], compare, "u long, v long")
 
 
+def _set_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(sid, shingles) of the wanted ids (column id): sorted distinct hashes as bytes."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in pieces(b, 1):
+                sets = [x.tobytes() for x in _sets(part.column(1), words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["sid", "shingles"])
+
+    return rows_in_filter(docs, id_col, text_col, bits).mapInArrow(apply, "sid long, shingles binary")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products of 0/1 matrices over
+    the hashes that occur on both sides, some columns at a time."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    cells = []
+    for h, row in sides:
+        at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+        hit = both[at] == h if len(both) else np.zeros(len(h), bool)
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((at[hit][order], row[hit][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(both), COLUMNS):
+        some = []
+        for (column, row), n in zip(cells, out.shape, strict=True):
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32)
+            m[row[a:b], column[a:b] - lo] = 1
+            some.append(m)
+        out += some[0] @ some[1].T
+    return out
+
+
 def _across(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of likely pairs between components within buckets (key, id, component, n, regs), block
-    against block: sketches of BLOCK members meet those of another block in one task."""
-    least = _floor(percent, REGISTERS)
+    """(u, v): links that join different components within buckets (key, id, component, shingles). Blocks
+    of members meet block by block in one task each, on full sets; of the links found, a spanning forest
+    is returned, so the rows that come out are no more than the members that went in."""
     count = buckets.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     own = buckets.join(count, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "regs")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "shingles")
 
     def compare(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(run)).combine_chunks()
-        block, ids, comp, n = (rows.column(c).to_numpy() for c in ("own", "id", "component", "n_shingles"))
-        regs = np.concatenate([_regs(c) for c in rows.column("regs").chunks])
+        block, ids, comp = (rows.column(c).to_numpy() for c in ("own", "id", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
         left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        a, b = [], []
-        for x in left.tolist():
-            to = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            to = to[ids[to] > ids[x]] if key[1] == key[2] else to
-            to = to[estimate(regs[to], regs[x], n[to], n[x]) >= least] if len(to) else to
-            a += [ids[x]] * len(to)
-            b += ids[to].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["a", "b"])
-
-    return map_runs(dealt, ["key", "i", "j"], [], compare, "a long, b long").distinct()
+        u, v = [], []
+        if len(left) and len(right):
+            common = common_counts([sets[x] for x in left], [sets[x] for x in right])
+            n = np.array([len(x) for x in sets])
+            linked = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :])
+            root: dict[int, int] = {}
+            for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                p, q = _root(root, int(comp[left[a]])), _root(root, int(comp[right[b]]))
+                if p != q:
+                    root[p] = q
+                    u.append(ids[left[a]])
+                    v.append(ids[right[b]])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return map_runs(dealt, ["key", "i", "j"], [], compare, "u long, v long")
+
+
+def _root(root: dict[int, int], x: int) -> int:
+    while root.get(x, x) != x:
+        root[x] = root.get(root[x], root[x])
+        x = root[x]
+    return x
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -245,20 +296,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = label(label(near.select("a", "b").join(best, ["a", "b"], "left_anti"), "a", "x"), "b", "y").where("x <> y").select("a", "b")
     rest = scratch.write(rest, "rest")
     if not rest.isEmpty():
-        links = scratch.write(links.union(verified(rest, docs, id_col, text_col, words, percent)), "links-2")
-        parts = connected_components(links, scratch, "parts-2")
+        parts = _joined(scratch.write(verified(rest, docs, id_col, text_col, words, percent), "links-2"), parts, scratch, 2)
     # with its star done, a bucket of two is done
     spans = label(buckets.where("c > 2"), "id", "component")
     torn = spans.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    spans = spans.where("id <> a").join(torn, F.col("key") == F.col("k"), "left_semi").join(classes.select("id", "n_shingles", "regs"), "id")
-    more = scratch.write(_across(spans.select("key", "id", "component", "n_shingles", "regs"), percent), "more")
-    if not more.isEmpty():
-        links = scratch.write(links.union(verified(more, docs, id_col, text_col, words, percent)), "links-3")
-        parts = connected_components(links, scratch, "parts-3")
-    scratch.drop("near", "best", "buckets", "rest", "more", "links-1", "links-2", "links-3")
+    spans = spans.where("id <> a").join(torn, F.col("key") == F.col("k"), "left_semi").select("key", "id", "component")
+    spans = scratch.write(spans, "spans")
+    if not spans.isEmpty():
+        sets = _set_rows(docs, spans, id_col, text_col, words)
+        new = scratch.write(_across(spans.join(sets, F.col("id") == F.col("sid")).select("key", "id", "component", "shingles"), percent), "links-3")
+        parts = _joined(new, parts, scratch, 3)
+    scratch.drop("near", "best", "buckets", "rest", "spans", "links-1", "links-2", "links-3")
     return _result(rows, classes, parts, scratch)
 
 
+def _joined(links: DataFrame, parts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """Components with further links; the old components already stand for the old links."""
+    if links.isEmpty():
+        return parts
+    old = parts.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    return connected_components(old.union(links), scratch, f"parts-{k}")
+
+
 def _result(rows: DataFrame, classes: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
     linked = parts.select(F.col("id").alias("p"), "component")
     of_class = classes.join(linked, F.col("id") == F.col("p"), "left").select("n_shingles", "d1", "d2", F.coalesce("component", "id").alias("component"))

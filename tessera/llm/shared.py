@@ -60,7 +60,7 @@ def id_filter(ids: DataFrame, col: str) -> np.ndarray:
     slots = ids.select(filter_slot(F.col(col)).alias("s"))
     rows = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     bits = np.zeros((FILTER_BITS // (4096 * 8) + 2, 4096), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         bits[r["b"]] = np.frombuffer(r["m"], np.uint8)
     return bits
 
