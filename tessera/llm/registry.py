@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, brown_lm, divergence_rules, hyperminhash, hyperplane_dedup, warc_zstd
+from tessera.llm import bpe, brown_lm, divergence_rules, hyperminhash, hyperplane_dedup, style_tree, warc_zstd
 from tessera.llm.shared import bit_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM digits JOIN first USING (h)"""
 
 
+@_query
+def op5_style_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf, "pages"))
+
+
 @_query
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"))
