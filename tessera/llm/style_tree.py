@@ -183,9 +183,14 @@ class Page:
     def marked(self, low: frozenset[int]) -> list[bool]:
         """Per node, whether it lies in a branch that is removed."""
         out = list(self.noise)
+        if not low:
+            return out
+        fixed = [not i or self.tag[i] in ("html", "body") or (self.tag[i] in RUNNING and (self.article[i] or self.main[i])) for i in range(len(out))]
+        for i in range(len(out) - 1, 0, -1):  # what holds running text stays
+            if fixed[i] and not out[i]:
+                fixed[self.parent[i]] = True
         for i in range(1, len(out)):
-            fixed = self.tag[i] in RUNNING and (self.article[i] or self.main[i])
-            out[i] = out[i] or out[self.parent[i]] or (self.key[i] in low and not fixed)
+            out[i] = out[i] or out[self.parent[i]] or (self.key[i] in low and not fixed[i])
         return out
 
     def blocks(self, low: frozenset[int] = frozenset()) -> list[str]:
