@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, brown_lm, divergence_rules, hyperminhash, hyperplane_dedup, style_tree, warc_zstd
+from tessera.llm import bpe, brown_lm, divergence_rules, hyperminhash, hyperplane_dedup, nbsvm, style_tree, warc_zstd
 from tessera.llm.shared import bit_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,13 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_nbsvm(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held = table(spark, sf, "documents"), bit_of_id("doc_id", 4) == 2
+    model = nbsvm.fit(docs, table(spark, sf, "labels"), ~held)
+    return nbsvm.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= nbsvm.ACCEPT).cast("int").alias("predicted"))
+
+
 @_query
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc_zstd.round_trip(table(spark, sf, "pages")).drop("url")
