@@ -1,25 +1,63 @@
-"""The corpus pipeline: quality, rules, near duplicates, mixing and tokens, stage by stage."""
+"""The corpus pipeline: quality classifier, quality rules, near-duplicates, mixing, tokens.
+
+Each stage works on all that the one before it kept. All but the last return the columns of documents;
+the last adds the token ids, their number, and whether they decode to the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.hyperminhash import keep_one
+from tessera.llm import bpe, divergence_rules, hyperminhash, mixing, nbsvm
 from tessera.llm.shared import Scratch, table
 
-#: The near-duplicate stage's links and components need a fixed point over sets: tested by brute force.
+#: Hashing, fitted models and connected components: the stages are tested by brute force and held-out rows.
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, accepts."""
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return nbsvm.keep_good(docs, model)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are near a language reference of the corpus."""
+    return divergence_rules.keep_good(docs, divergence_rules.reference(docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    """One document of each group of near-duplicates."""
+    return hyperminhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources read as often as their target weights ask for, every document at least once."""
+    return mixing.mix(docs, budget="cover", repeats=2.0)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids; round_trip says whether these decode to the text."""
+    done = bpe.decode(bpe.encode(docs))
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return done.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
-STAGES = [("minhash near-dedup", near_duplicates)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what each stage returns is written to the shared folder and read again."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return docs

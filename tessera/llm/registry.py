@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, brown_lm, divergence_rules, hyperminhash, hyperplane_dedup, nbsvm, style_tree, warc_zstd
+from tessera.llm import bpe, brown_lm, crf_langid, divergence_rules, hyperminhash, hyperplane_dedup, mixing, nbsvm, style_tree, warc_zstd
 from tessera.llm.shared import bit_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM digits JOIN first USING (h)"""
 
 
+@_query
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf, "documents"))
+
+
 @_query
 def op5_style_tree(spark: SparkSession, sf: str) -> DataFrame:
     return style_tree.extract(table(spark, sf, "pages"))
@@ -64,6 +69,12 @@ def op4_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@_query
+def op8_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held = table(spark, sf, "documents"), bit_of_id("doc_id", 4) == 2
+    return crf_langid.predict(docs, crf_langid.fit(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op9_brown_lm(spark: SparkSession, sf: str) -> DataFrame:
     return brown_lm.score(table(spark, sf, "documents"), bit_of_id("doc_id", 7) == 2)
