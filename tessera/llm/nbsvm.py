@@ -76,7 +76,7 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     keys = []
 
     def add(value: np.ndarray, own: np.ndarray, kind: int) -> None:
-        slot = mix(value + np.uint64(kind) * BASE) % np.uint64(SLOTS)
+        slot = mix(value + np.full(1, kind, np.uint64) * BASE) % np.uint64(SLOTS)
         keys.append(own.astype(np.uint64) * np.uint64(SLOTS) + slot)
 
     for kind, x, n in ((1, h, 1), (2, h, 2), (3, shape, 1), (4, shape, 2), (5, shape, 3)):
