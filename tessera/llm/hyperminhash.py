@@ -199,13 +199,12 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
     """(sid, shingles) of the wanted ids (column id): sorted distinct hashes as bytes."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in pieces(b, 1):
-                sets = [x.tobytes() for x in _sets(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["sid", "shingles"])
+    def sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in pieces(b, 1):
+            raw = [x.tobytes() for x in _sets(part.column(1), words)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["sid", "shingles"])
 
-    return rows_in_filter(docs, id_col, text_col, bits).mapInArrow(apply, "sid long, shingles binary")
+    return rows_in_filter(docs, id_col, text_col, bits, sets, "sid long, shingles binary")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

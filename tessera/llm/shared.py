@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bits of an id filter: 8 MB whatever the input, so it can always be broadcast.
 FILTER_BITS = 1 << 26
 
+#: Rows that pass to Python at once, at most: with whole texts, more would fill the workers' memory.
+BATCH_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
@@ -32,6 +35,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -72,16 +77,18 @@ def in_filter(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[bucket, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def rows_in_filter(df: DataFrame, id_col: str, text_col: str, bits) -> DataFrame:
-    """(id, text) of the rows whose id may be in the filter; bits is a Spark broadcast."""
+def rows_in_filter(df: DataFrame, id_col: str, text_col: str, bits, then: Callable | None = None, schema: str = "id long, text string") -> DataFrame:
+    """(id, text) of the rows whose id may be in the filter, or what then makes of such batches; bits is
+    a Spark broadcast."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             mask = in_filter(bits.value, b.column(2).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["id", "text"]).filter(pa.array(mask))
+            some = pa.RecordBatch.from_arrays(b.columns[:2], names=["id", "text"]).filter(pa.array(mask))
+            yield from then(some) if then else (some,)
 
     picked = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), filter_slot(F.col(id_col)).alias("slot"))
-    return picked.mapInArrow(keep, "id long, text string")
+    return picked.mapInArrow(keep, schema)
 
 
 def in_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:

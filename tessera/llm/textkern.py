@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text in one piece of work; arrays of eight bytes a character stay near 16 MB.
-PIECE = 2 << 20
+#: Bytes of text in one piece of work; arrays of eight bytes a character stay near 8 MB.
+PIECE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
 SPACE = np.zeros(256, bool)
