@@ -274,7 +274,8 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
             pair[k] -= row
             pair[:, k] -= column
             pair[k, k] -= own
-            left, right = pair.sum(axis=1), pair.sum(axis=0)
+            # wherever w goes, classes before and after it keep their bigrams with it
+            left, right = pair.sum(axis=1) + column, pair.sum(axis=0) + row
             to = np.arange(classes - 1)
             # with w in class x: row x gains row, column x gains column, and cell (x, x) own too
             grown_row = log(pair[to] + row[None, :]) - log(pair[to])

@@ -42,15 +42,16 @@ UNKNOWN = "und"
 
 def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots, offsets): the slots of each word's affixes and n-grams, one word after another."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     length = end - start
     # each word between two boundary bytes, so that prefixes and suffixes are n-grams of their own
     off = np.concatenate([[0], np.cumsum(length + 2)])
     flat = np.full(off[-1], 257, np.uint64)
     inner = np.ones(off[-1], bool)
     inner[off[:-1]] = inner[off[1:] - 1] = False
-    if len(start):
-        source = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        flat[inner] = LOWER[data[source]]
+    source = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+    flat[inner] = LOWER[data[source]]
     grams, owner = [], []
     word = np.repeat(np.arange(len(start)), length + 2)
     for n in (2, 3, 4):

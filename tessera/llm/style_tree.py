@@ -292,7 +292,7 @@ def importances(nodes: list[tuple[int, int, int, int, float, int, float, int]],
 
 
 def noise_nodes(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, low): the keys of each host's highest branches of low importance."""
+    """(host, low): the keys of each host's branches of low importance."""
     counts = _counts(pages).groupBy("host", "key", "parent", "level", "kind", "value").agg(F.sum("n").alias("n"))
     ln = F.log("n")
     whole = F.max(F.when(F.col("kind") == 0, F.col("n")))
@@ -334,8 +334,7 @@ def low_keys(rows: list[dict]) -> list[int]:
         fillers += single
         nodes.append((-fillers if single else r["key"], r["parent"], r["level"], r["m"] if not single else 1, r["entropy"], max(r["sequences"], 0), r["spread"], r["texts"]))
     found = importances(nodes)
-    low = {r["key"] for r in rows if r["sequences"] >= 0 and r["m"] >= MIN_PAGES and found[r["key"]] < NOISE}
-    return sorted(r["key"] for r in rows if r["key"] in low and r["parent"] not in low)
+    return sorted(r["key"] for r in rows if r["sequences"] >= 0 and r["m"] >= MIN_PAGES and found[r["key"]] < NOISE)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
