@@ -208,7 +208,10 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     spark = pages.sparkSession
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     given = given.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    samples = given.select(F.substring("html", 1, SAMPLE_CHARS).alias("s"), F.xxhash64("digest").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    # the sample is chosen by ids alone, so that no task sends texts it may not be asked for
+    place = F.xxhash64("page_id")
+    last = given.select(place.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    samples = given.where(place <= F.lit(last)).select(F.substring("html", 1, SAMPLE_CHARS).alias("s")).limit(SAMPLE).collect() if last is not None else []
     dictionary = spark.sparkContext.broadcast(train_dictionary([r["s"].encode() for r in samples if r["s"]]))
     both = given.join(revisits(given, least), ["page_id", "digest", "bytes"], "left").select("page_id", "url", "html", "refers_to")
 
