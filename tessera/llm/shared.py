@@ -29,14 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows where they are larger."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written once under a fresh folder of the shared directory, so that later stages,
     retries after a lost executor included, read files instead of recomputing lineage."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ a text longer than that bound is a piece of its own. Word identity is a 64-bit h
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,14 @@ def pieces(batch: pa.RecordBatch, text_at: int, size: int = PIECE) -> Iterator[p
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Words:
