@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +58,18 @@ def session(config: EngineConfig | None = None, master: str | None = None) -> Sp
     if master:
         builder = builder.master(master)
     return builder.config(map=(config or EngineConfig()).settings()).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for a Spark application, so that functions that run
+    there can import it wherever it is installed on the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f"{package.name}/{f.relative_to(package)}")
+    context.addPyFile(str(target))
+    context._tessera_shipped = True
