@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import small_batches
+from tessera.llm.shared import prepare
 from tessera.llm.textkern import pieces
 
 #: Characters of a chunk and of what it shares with the next.
@@ -101,7 +101,7 @@ def _coder(ranks, pattern: str) -> Coder:
 
 
 def _shared(df: DataFrame, path: str | None, pattern: str | None):
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     if path is None:
         path, pattern = public_ranks()
     with open(path, "rb") as f:  # a vocabulary file: its size is fixed

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import small_batches
+from tessera.llm.shared import prepare
 from tessera.llm.textkern import SPACE, Texts, Words, mix, pieces, span_hashes, windows
 
 WINDOW = 8
@@ -127,7 +127,7 @@ def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """Sums over all documents that pass the base rules. What comes to the driver is a fixed number of
     counts for each language."""
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -204,7 +204,7 @@ def _verdicts(part: pa.RecordBatch, text_at: int, ref: Reference | None) -> tupl
 def rules(docs: DataFrame, ref: Reference | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, the base counts, base_failed, kept, and both distances."""
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1):
@@ -218,7 +218,7 @@ def rules(docs: DataFrame, ref: Reference | None, id_col: str = "doc_id", text_c
 
 def keep_good(docs: DataFrame, ref: Reference | None, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with their columns as they are."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

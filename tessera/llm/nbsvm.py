@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import id_filter, map_runs, rows_in_filter, small_batches
+from tessera.llm.shared import id_filter, map_runs, prepare, rows_in_filter
 from tessera.llm.textkern import BASE, STEP, Texts, Words, mix, pieces
 
 SLOTS = 1 << 18
@@ -194,7 +194,7 @@ def _constant(share: float) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id") -> Model:
     """A model of the labelled rows of docs for which usable holds."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     known = labels_of(labels, label_id, label_col)
     bits = spark.sparkContext.broadcast(id_filter(known, "lid"))
@@ -260,7 +260,7 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tu
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id and score, the probability of label 1."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """The rows of docs with a score of accept or more, with their columns as they are."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

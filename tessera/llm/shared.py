@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: Bits of an id filter: 8 MB whatever the input, so it can always be broadcast.
 FILTER_BITS = 1 << 26
 
@@ -29,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows where they are larger."""
+def prepare(spark: SparkSession) -> None:
+    """Makes the package known to the executors and lowers the session's Arrow batches to BATCH_ROWS
+    rows where they are larger."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -41,7 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        small_batches(spark)
+        prepare(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
