@@ -34,9 +34,9 @@ from tessera.llm.textkern import BASE, STEP, mix
 COSINE = 0.95
 MISS = 1e-6
 #: Unrelated classes wanted in a bucket, and members that are compared in one task at a time.
-BUCKET = 64
+BUCKET = 1024
 BLOCK = 1024
-LEAST_SIGNS = 6
+LEAST_SIGNS = 4
 
 
 def agree(cosine: float) -> float:
