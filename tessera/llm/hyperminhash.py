@@ -43,6 +43,8 @@ BLOCK = 512
 COLUMNS = 8192
 #: Members of one leader that are verified in one task at a time.
 STAR = 1024
+#: Any odd-looking bits: they set the order in which ids become leaders.
+SCRAMBLE = 0x5851F42D4C957F2D
 
 
 def _turns(m: int) -> np.ndarray:
@@ -281,7 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.write(sets.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")), "classes")
     # a doc_id with several texts belongs to several classes; its own links tie them
     bands = _bands(classes)
-    stars = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("a"))).alias("top"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), F.col("top.a").alias("a"), "c")
+    # the leader is least in a scrambled order of ids, which can be taken back from the minimum
+    scrambled = lambda c: F.col(c).bitwiseXOR(F.lit(SCRAMBLE))
+    stars = bands.groupBy("key").agg(F.min(scrambled("id")).alias("top"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), scrambled("top").alias("a"), "c")
     buckets = scratch.write(bands.join(stars, F.col("key") == F.col("k")).select("key", "id", "a", "c"), "buckets")
     near = scratch.write(_likely(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes, percent), "near")
     best = scratch.write(near.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"), "best")
