@@ -179,3 +179,17 @@ def test_pipeline(spark):
     model = nbsvm.fit(docs, labels, F.lit(True))
     good = labels.where("quality = 1").join(nbsvm.keep_good(docs, model), "doc_id")
     assert good.count() > 0.97 * labels.where("quality = 1").count()
+
+
+def test_pipeline_edges(spark):
+    sf = "/root/testdata/sf0.001"
+    good = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars BETWEEN 600 AND 3000").limit(6)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "a", 0), (7, "x", None, None, None), (8, "漢字 " * 4000, "zz", "b", 1)], good.schema)
+    clash = good.unionByName(odd).withColumns({c: F.lit("mine") for c in ("copies", "score", "kept", "id", "slot", "epoch", "component_id", "turn")})
+    for docs in (good.limit(0), clash, odd):
+        now = docs
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = Scratch(spark, "edge").write(stage(spark, now, sf), "stage")
+            if k < 4:
+                assert now.columns == docs.columns
+        assert now.count() >= 0 and now.where("NOT round_trip").count() == 0
