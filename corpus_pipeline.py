@@ -54,10 +54,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage returns is written to the shared folder and read again."""
+    """The last stage's rows; what each stage returns is written to the shared folder and read again,
+    and what the stage and the one before it left there is deleted."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(Scratch.made)
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        for used in Scratch.made[before:]:
+            used.clear()
         if k:
             scratch.drop(f"stage-{k - 1}")
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,17 @@ def prepare(spark: SparkSession) -> None:
 
 class Scratch:
     """Tables written once under a fresh folder of the shared directory, so that later stages,
-    retries after a lost executor included, read files instead of recomputing lineage."""
+    retries after a lost executor included, read files instead of recomputing lineage. What an operator
+    returns may still read them: they stay until clear(), which a caller may use once results are written."""
+
+    #: Those of this application, in the order they were made.
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         prepare(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, schema = f"{self.root}/{name}", df.schema
@@ -58,10 +64,18 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no pending plan reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        """Deletes all of its tables."""
+        self._delete(self.root)
+        if self in Scratch.made:
+            Scratch.made.remove(self)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filter_slot(col) -> F.Column:
