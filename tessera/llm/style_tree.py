@@ -86,6 +86,7 @@ class Page:
         self.main: list[bool] = [False]
         self.children: list[list[str]] = [[]]
         self.texts: list[tuple[int, str] | None] = []
+        self.open: dict[str, int] = defaultdict(int)  # elements on the stack, by tag
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -118,9 +119,9 @@ class Page:
                     lowered = html.lower() if len(html.lower()) == len(html) else html
                 found = lowered.find(f"</{name}", at)
                 at = end if found < 0 else found
-                stack.append(node)
+                self._push(stack, node)
             elif name not in VOID and not (m[3].endswith("/") and name in ("svg", "math")):
-                stack.append(node)
+                self._push(stack, node)
 
     def _text(self, node: int, text: str) -> None:
         self.texts.append((node, text))
@@ -150,13 +151,19 @@ class Page:
         self.children.append([])
         return len(self.parent) - 1
 
+    def _push(self, stack: list[int], node: int) -> None:
+        stack.append(node)
+        self.open[self.tag[node]] += 1
+
     def _pop_to(self, stack: list[int], at: int) -> None:
+        for x in stack[at:]:
+            self.open[self.tag[x]] -= 1
         if any(self.tag[x] not in INLINE for x in stack[at:]):
             self.texts.append(None)
         del stack[at:]
 
     def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        for i in () if not self.open[name] else range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
             if tag == name:
                 self._pop_to(stack, i)
@@ -168,6 +175,8 @@ class Page:
 
     def _make_room(self, stack: list[int], name: str) -> None:
         closed = CLOSES.get(name, ())
+        if not self.open["p"] and not any(self.open[x] for x in closed):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[i]]
             if tag in closed or (tag == "p" and name not in INLINE and name not in RAW):
