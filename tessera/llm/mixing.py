@@ -106,11 +106,9 @@ def temperature(sources: DataFrame, entropy: float | None = ENTROPY, repeats: fl
         return lo
 
     exponent = 1.0 if entropy is None else largest(lambda h, _: h >= entropy * math.log(n) - 1e-12)
-    if repeats is not None:
+    if repeats is not None and look([exponent])[0][1] > repeats * (1 + 1e-9):
         # readings fall as the exponent grows: the least exponent within the limit
-        allowed = largest(lambda _, r: r > repeats * (1 + 1e-9))
-        within = look([exponent])[0][1] <= repeats * (1 + 1e-9)
-        exponent = exponent if within else min(1.0, allowed + SECTIONS**-PASSES)
+        exponent = min(1.0, largest(lambda _, r: r > repeats * (1 + 1e-9)) + SECTIONS**-PASSES)
     z = some.agg(F.sum(F.exp(exponent * ln))).first()[0]
     return Temperature(exponent, look([exponent])[0][0], _budget(budget, total, most, z, exponent))
 
