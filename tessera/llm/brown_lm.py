@@ -2,15 +2,18 @@
 
 Words of the training documents are counted exactly. The commonest words are clustering units of their
 own and every other word belongs to the unit of its ending, so each word has a unit; exchange clustering
-assigns units to classes by the likelihood of class bigrams. A text's probability is the product of class
-transitions (interpolated with class shares) and of emissions P(word | class), with one unit of count kept
-back in each class for words not seen.
+assigns units to classes by the likelihood of class bigrams. These classes are then held fixed, and every
+other training word, however rare, is moved to the class that its own contexts (the classes before and
+after it, all its occurrences summed) fit best; only words not seen in training stay with their ending's
+class. Class bigrams and class sizes are counted again under the words' final classes. A text's
+probability is the product of class transitions (interpolated with class shares) and of emissions
+P(word | class), with one unit of count kept back in each class for words not seen.
 
 Counts of all words are not broadcast, since the vocabulary grows with the corpus. Documents are read
 once into groups of bounded size, each with the list of its distinct words. The lists meet in shards of
-the hash space, which add up the counts and send them back to the groups; a group's documents and counts
-then meet in one task. What is gathered on the driver is bounded: the commonest words, the bigram counts
-of units, and totals.
+the hash space, as do the words' contexts; a shard adds them up, settles its words' classes and sends counts
+and classes back to the groups; a group's documents and its words' classes then meet in one task. What is
+gathered on the driver is bounded: the commonest words, the bigram counts of units and classes, and totals.
 
 Defined results: a null, empty or blank text is its end alone; a null doc_id is a training document and
 stays null; repeated rows count each time; ties among the commonest words are settled by their hash;
@@ -21,7 +24,7 @@ ignored; no rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,9 @@ ROUNDS = 12
 #: Bytes of text in one group, and entries of word lists in one shard.
 GROUP = 64 << 20
 SHARD = 1 << 21
+#: Contexts that a task holds before it passes them on, and words judged at once.
+HELD = 1 << 21
+JUDGED = 1 << 13
 SMOOTH = 1.0
 #: Weight of class shares beside class transitions.
 SHARE = 0.05
@@ -117,6 +123,8 @@ class _Group:
         return local[inverse]
 
 
+_WHO = [("id", np.int64), ("flags", np.uint8)]
+_SUMS = [("known", np.int64), ("base", float), ("emission", float)]
 _TOKENS = "gid long, kind int, seq int, a binary, b binary, c binary"
 
 
@@ -142,7 +150,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
                 local = group.numbers(h, np.repeat(~held, count))
                 ids = part.column(0)
                 flags = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8) | held.astype(np.uint8) << 1
-                who = np.zeros(part.num_rows, [("id", np.int64), ("flags", np.uint8)])
+                who = np.zeros(part.num_rows, _WHO)
                 who["id"], who["flags"] = ids.fill_null(0).to_numpy(), flags
                 yield row(2, _squeeze(who.tobytes()), _pack(count.astype(np.int64)), _pack(local.astype(np.uint32)))
                 seq += 1
@@ -156,11 +164,18 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(apply, _TOKENS)
 
 
+_REQUESTS = "shard long, gid long, a binary, b binary, c binary"
+
+
+def _edges(bits: int) -> np.ndarray:
+    return (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64)
+
+
 def _requests(tokens: DataFrame, bits: int) -> DataFrame:
     """(shard, gid, hashes, counts): every word list, cut by the top bits of the sorted hashes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64)
+        edges = _edges(bits)
         for b in batches:
             for gid, a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 h, n = _unpack(a, np.uint64), _unpack(c, np.int64)
@@ -169,42 +184,65 @@ def _requests(tokens: DataFrame, bits: int) -> DataFrame:
                 cut = [0, *np.searchsorted(h, edges).tolist(), len(h)]
                 for s, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     if hi > lo:
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([gid], pa.int64()), pa.array([_pack(h[lo:hi])], pa.binary()), pa.array([_pack(n[lo:hi])], pa.binary())], names=["shard", "gid", "a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([gid], pa.int64()), pa.array([_pack(h[lo:hi])], pa.binary()), pa.array([_pack(n[lo:hi])], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "gid", "a", "b", "c"])
+
+    return tokens.where("kind = 0").select("gid", "a", "b").mapInArrow(apply, _REQUESTS)
 
-    return tokens.where("kind = 0").select("gid", "a", "b").mapInArrow(apply, "shard long, gid long, a binary, b binary")
 
+def _gathered(run: Iterator[pa.RecordBatch]) -> tuple[list, list, list, list]:
+    """Of a shard's rows: groups, their word lists and counts, and the context lists (gid -1)."""
+    gids, lists, counts, contexts = [], [], [], []
+    for b in run:
+        for gid, x, y, z in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            if gid < 0:
+                contexts.append((_unpack(x, np.uint64), _unpack(y, np.int64), _unpack(z, np.int64)))
+            else:
+                gids.append(gid)
+                lists.append(_unpack(x, np.uint64))
+                counts.append(_unpack(y, np.int64))
+    return gids, lists, counts, contexts
 
-def _replies(requests: DataFrame) -> DataFrame:
-    """Rows of kind 1 answer a group's request with corpus counts, in its order. Rows of kind 3 hold a
-    shard's commonest words and its tokens and distinct words by ending."""
+
+def _totals(lists: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's words in order, where each entry of the lists is among them, and corpus counts."""
+    words, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.zeros(len(words), np.int64)
+    np.add.at(total, inverse, np.concatenate(counts))
+    return words, inverse, total
+
+
+def _heads(requests: DataFrame) -> DataFrame:
+    """For each shard its commonest words, and its tokens and distinct words by ending."""
 
     def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, gids, lists, counts = key[0], [], [], []
-        for b in run:
-            gids += b.column(1).to_pylist()
-            lists += [_unpack(x, np.uint64) for x in b.column(2).to_pylist()]
-            counts += [_unpack(x, np.int64) for x in b.column(3).to_pylist()]
-        words, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.zeros(len(words), np.int64)
-        np.add.at(total, inverse, np.concatenate(counts))
+        _, lists, counts, _ = _gathered(run)
+        words, _, total = _totals(lists, counts)
         seen = total > 0
         plain = seen & (words != END)
         ending = (words & _LOW).astype(np.int64)
         stats = np.concatenate([np.bincount(ending[plain], total[plain], ENDINGS), np.bincount(ending[plain], minlength=ENDINGS), [total[~plain].sum(), (seen & ~plain).sum()]]).astype(np.int64)
         top = np.flatnonzero(plain)
         top = top[np.lexsort((words[top], -total[top]))[:COMMON]]
+        packed = (_pack(x) if len(x) else b"" for x in (words[top], total[top], stats))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["a", "b", "c"])
 
-        def row(kind: int, gid: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([_pack(x) if len(x) else b""], pa.binary()) for x in (a, b, c))], names=["gid", "kind", "seq", "a", "b", "c"])
+    return map_runs(requests, ["shard"], ["gid"], add, "a binary, b binary, c binary")
 
-        none = np.zeros(0, np.int64)
-        yield row(3, -1, words[top], total[top], stats)
-        at = 0
-        for gid, one in zip(gids, lists, strict=True):
-            yield row(1, gid, total[inverse[at : at + len(one)]], none, none)
-            at += len(one)
 
-    return map_runs(requests.select("shard", "gid", "a", "b"), ["shard"], ["gid"], add, _TOKENS)
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The matrix (size x size) of the sums of packed rows (unit, n)."""
+
+    def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in run:
+            for x in b.column(1).to_pylist():
+                total += _unpack(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([_pack(total)], pa.binary())], names=["unit", "n"])
+
+    out = np.zeros((size, size), np.int64)
+    for r in map_runs(parts, ["unit"], [], add, "unit long, n binary").collect():
+        out[r["unit"]] = _unpack(r["n"], np.int64)
+    return out
 
 
 def _bigrams(docs: DataFrame, common: np.ndarray) -> np.ndarray:
@@ -225,18 +263,7 @@ def _bigrams(docs: DataFrame, common: np.ndarray) -> np.ndarray:
         for i in np.flatnonzero(matrix.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_pack(matrix[i])], pa.binary())], names=["unit", "n"])
 
-    def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS, np.int64)
-        for b in run:
-            for x in b.column(1).to_pylist():
-                total += _unpack(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([_pack(total)], pa.binary())], names=["unit", "n"])
-
-    parts = docs.select("held_out", "text").mapInArrow(count, "unit long, n binary")
-    out = np.zeros((UNITS, UNITS), np.int64)
-    for r in map_runs(parts, ["unit"], [], add, "unit long, n binary").collect():
-        out[r["unit"]] = _unpack(r["n"], np.int64)
-    return out
+    return _summed(docs.select("held_out", "text").mapInArrow(count, "unit long, n binary"), UNITS)
 
 
 def units(h: np.ndarray, ranked: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -299,13 +326,14 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
 
 @dataclass
 class Model:
-    """tokens: N; words: V; common: hashes of the commonest words; class_of: by unit; transition:
-    log10 P(class | class before); room: by class, tokens + SMOOTH * (distinct words + 1)."""
+    """tokens: N; words: V; common: hashes of the commonest words; class_of: by unit; table: class
+    bigrams; transition: log10 P(class | class before); room: by class, tokens + SMOOTH * (distinct words + 1)."""
 
     tokens: int
     words: int
     common: np.ndarray
     class_of: np.ndarray
+    table: np.ndarray
     transition: np.ndarray
     room: np.ndarray
 
@@ -318,10 +346,17 @@ class Model:
         return k, emission, np.log10((c + 1) / (self.tokens + self.words + 1))
 
 
-def _model(replies: DataFrame, docs: DataFrame) -> Model:
+def _transition(table: np.ndarray) -> np.ndarray:
+    share = (table.sum(axis=0) + SMOOTH) / (table.sum() + SMOOTH * CLASSES)
+    after = (table + SMOOTH * share[None, :]) / (table.sum(axis=1, keepdims=True) + SMOOTH)
+    return np.log10((1 - SHARE) * after + SHARE * share[None, :])
+
+
+def _model(heads_of: DataFrame, docs: DataFrame) -> Model:
+    """The model of units, in which every word has its unit's class."""
     stats = np.zeros(2 * ENDINGS + 2, np.int64)
     heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for r in replies.where("kind = 3").select("a", "b", "c").coalesce(8).toLocalIterator():
+    for r in heads_of.coalesce(8).toLocalIterator():
         stats += _unpack(r["c"], np.int64)
         if r["a"]:
             h, n = np.concatenate([heads[0], _unpack(r["a"], np.uint64)]), np.concatenate([heads[1], _unpack(r["b"], np.int64)])
@@ -342,41 +377,192 @@ def _model(replies: DataFrame, docs: DataFrame) -> Model:
     hot = np.zeros((UNITS, CLASSES))
     hot[np.arange(UNITS), class_of] = 1
     table = hot.T @ pairs @ hot
-    share = (table.sum(axis=0) + SMOOTH) / (table.sum() + SMOOTH * CLASSES)
-    after = (table + SMOOTH * share[None, :]) / (table.sum(axis=1, keepdims=True) + SMOOTH)
-    return Model(n, v, common, class_of, np.log10((1 - SHARE) * after + SHARE * share[None, :]), room)
+    return Model(n, v, common, class_of, table, _transition(table), room)
 
 
-def _scores(rows: DataFrame, model) -> DataFrame:
-    """Scores of the documents of each group, from its word list, the replies to it and its bundles."""
+def _contexts(docs: DataFrame, model, bits: int) -> DataFrame:
+    """Requests of gid -1: the words of training documents that are not among the commonest, how many
+    contexts each has in the row, and these, as context + 2 * CLASSES * count. A context is the class
+    before the word, or CLASSES + the class after it."""
+    sides = 2 * CLASSES
 
-    def apply(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        order = np.argsort(m.common)
+        ranked, edges = m.common[order], _edges(bits)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words, at = np.unique(np.concatenate([x for x, _, _ in held]), return_inverse=True)
+            keys, where = np.unique(at * sides + np.concatenate([x for _, x, _ in held]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, _, x in held])).astype(np.int64)
+            each = np.bincount(keys // sides, minlength=len(words))
+            packed = keys % sides + sides * n
+            cut = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+            first = np.concatenate([[0], np.cumsum(each)])
+            for shard, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if hi > lo:
+                    parts = words[lo:hi], each[lo:hi].astype(np.int64), packed[first[lo] : first[hi]]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([-1], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in parts)], names=["shard", "gid", "a", "b", "c"])
+
+        for batch in batches:
+            batch = batch.filter(pa.compute.invert(batch.column(0)))
+            for part in pieces(batch, 1):
+                h, _ = with_ends(Words(Texts(part.column(1))))
+                unit = units(h, ranked, order)
+                k = m.class_of[unit]
+                tail = np.flatnonzero((unit >= COMMON) & (unit != END_UNIT))
+                if not len(tail):
+                    continue
+                words, at = np.unique(h[tail], return_inverse=True)
+                # a text follows an end, and every text has one
+                before = np.where(tail > 0, k[tail - 1], CLASSES - 1)
+                keys, n = np.unique(np.concatenate([at * sides + before, at * sides + CLASSES + k[tail + 1]]), return_counts=True)
+                held.append((words[keys // sides], keys % sides, n))
+                if sum(len(x) for x, _, _ in held) >= HELD:
+                    yield from out()
+                    held.clear()
+        if held:
+            yield from out()
+
+    return docs.select("held_out", "text").mapInArrow(apply, _REQUESTS)
+
+
+def best_classes(at: np.ndarray, context: np.ndarray, n: np.ndarray, now: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each word, now in class now, the class whose contexts in table are likeliest to give the word's
+    own: n of each context of the word with the number at. Its own counts are taken out of the class it
+    leaves, as exchange does; the end's class and classes without tokens take no words."""
+    sides = 2 * CLASSES
+    size = np.concatenate([np.repeat(table.sum(axis=0)[None, :], CLASSES, axis=0), np.repeat(table.sum(axis=1)[None, :], CLASSES, axis=0)]).astype(float)
+    pair = np.concatenate([table, table.T]).astype(float)  # context x class
+    prior = SMOOTH * np.concatenate([(x + 1) / (x.sum() + CLASSES) for x in (table.sum(axis=1), table.sum(axis=0))])
+    weight = np.log((pair + prior[:, None]) / (size + SMOOTH))
+    closed = table.sum(axis=0) + table.sum(axis=1) == 0
+    closed[CLASSES - 1] = True
+    best = now.copy()
+    keys, where = np.unique(at * sides + context, return_inverse=True)
+    n = np.bincount(where, n)
+    at, context = keys // sides, keys % sides
+    occurs = np.bincount(at[context < CLASSES], n[context < CLASSES], len(now))
+    k = now[at]
+    stay = np.bincount(at, n * np.log((np.maximum(pair[context, k] - n, 0) + prior[context]) / (np.maximum(size[context, k] - occurs[at], 0) + SMOOTH)), len(now))
+    for lo in range(0, len(now), JUDGED):
+        hi = min(lo + JUDGED, len(now))
+        part = slice(*np.searchsorted(at, [lo, hi]))
+        value = np.bincount((at[part] - lo) * sides + context[part], n[part], (hi - lo) * sides).reshape(-1, sides) @ weight
+        value[:, closed] = -np.inf
+        value[np.arange(hi - lo), now[lo:hi]] = stay[lo:hi]
+        best[lo:hi] = value.argmax(axis=1)
+    return best
+
+
+def _replies(asked: DataFrame, model) -> DataFrame:
+    """Rows of kind 1 answer a group's request with corpus counts and classes, in its order. Rows of
+    kind 3 hold a shard's tokens and distinct words by class."""
+
+    def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        gids, lists, counts, contexts = _gathered(run)
+        words, inverse, total = _totals(lists, counts)
+        order = np.argsort(m.common)
+        unit = units(words, m.common[order], order)
+        k = m.class_of[unit]
+        own = np.flatnonzero((total > 0) & (unit >= COMMON) & (unit != END_UNIT))
+        if contexts:
+            at = np.concatenate([np.repeat(np.searchsorted(words[own], x), each) for x, each, _ in contexts])
+            entries = np.concatenate([x for _, _, x in contexts])
+            k[own] = best_classes(at, entries % (2 * CLASSES), entries // (2 * CLASSES), k[own], m.table)
+        plain = (total > 0) & (words != END)
+        stats = np.concatenate([np.bincount(k[plain], total[plain], CLASSES), np.bincount(k[plain], minlength=CLASSES)]).astype(np.int64)
+
+        def row(kind: int, gid: int, a: np.ndarray, b: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), pa.array([kind], pa.int32()), pa.array([key[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in (_pack(a), b, b""))], names=["gid", "kind", "seq", "a", "b", "c"])
+
+        yield row(3, -1, stats, b"")
+        at = 0
+        for gid, one in zip(gids, lists, strict=True):
+            mine = inverse[at : at + len(one)]
+            yield row(1, gid, total[mine], _squeeze(k[mine].astype(np.uint8).tobytes()))
+            at += len(one)
+
+    return map_runs(asked, ["shard"], ["gid"], add, _TOKENS)
+
+
+_CLASSED = "unit long, a binary, b binary, c binary, d binary"
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """From each group's word list, the replies to it and its bundles: class bigrams of its training
+    documents (unit is the class before, a the counts), and bundles (unit -1) of documents with token
+    counts, the classes of the tokens, and the sums of known tokens and of log10(count + 1) of tokens and words."""
+
+    def apply(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, replies, known = None, [], None
+        table = np.zeros(CLASSES * CLASSES, np.int64)
+
+        def row(unit: int, *parts: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["unit", "a", "b", "c", "d"])
+
         for b in run:
             for kind, x, y, z in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 if kind == 0:
                     hashes = _unpack(x, np.uint64)
                 elif kind == 1:
-                    replies.append(_unpack(x, np.int64))
+                    replies.append((_unpack(x, np.int64), np.frombuffer(_expand(y), np.uint8)))
                 else:
                     if known is None:
-                        c = np.empty(len(hashes), np.int64)
-                        c[np.argsort(hashes)] = np.concatenate(replies)
-                        known = c, *m.of_words(hashes, c)
-                    c, k, emission, base = known
-                    who = np.frombuffer(_expand(x), [("id", np.int64), ("flags", np.uint8)])
+                        order = np.argsort(hashes)
+                        c, k = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+                        c[order], k[order] = (np.concatenate([r[i] for r in replies]) for i in (0, 1))
+                        known = c, k, np.log10(c + 1), np.where(hashes == END, 0.0, np.log10(c + SMOOTH))
+                    c, k, base, emission = known
                     count, at = _unpack(y, np.int64), _unpack(z, np.uint32)
                     first = np.concatenate([[0], np.cumsum(count)[:-1]])
                     now = k[at]
                     before = np.concatenate([[CLASSES - 1], now[:-1]])  # a text follows an end
-                    total = lambda v: np.add.reduceat(v, first)
-                    score, plain, seen = total(m.transition[before, now] + emission[at]), total(base[at]), total((c[at] > 0).astype(np.int64))
-                    ids = pa.array(who["id"].copy(), mask=(who["flags"] & 1) == 0)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array((who["flags"] & 2) > 0), pa.array(count), pa.array(seen), pa.array(np.full(len(count), m.tokens, np.int64)), pa.array(plain), pa.array(score), pa.array(10 ** (-score / count))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                    held = (np.frombuffer(_expand(x), _WHO)["flags"] & 2) > 0
+                    train = np.repeat(~held, count)
+                    table += np.bincount(before[train] * CLASSES + now[train], minlength=len(table))
+                    sums = np.zeros(len(count), _SUMS)
+                    sums["known"], sums["base"], sums["emission"] = (np.add.reduceat(v, first) for v in ((c[at] > 0).astype(np.int64), base[at], emission[at]))
+                    yield row(-1, x, y, _squeeze(now.astype(np.uint8).tobytes()), _squeeze(sums.tobytes()))
+        matrix = table.reshape(CLASSES, CLASSES)
+        for i in np.flatnonzero(matrix.any(axis=1)).tolist():
+            yield row(i, _pack(matrix[i]), b"", b"", b"")
+
+    return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED)
+
+
+def _settled(units_model: Model, replies: DataFrame, classed: DataFrame) -> Model:
+    """The model under the words' final classes."""
+    stats = np.zeros(2 * CLASSES, np.int64)
+    for r in replies.where("kind = 3").select("a").coalesce(8).toLocalIterator():
+        stats += _unpack(r["a"], np.int64)
+    table = _summed(classed.where("unit >= 0").select("unit", F.col("a").alias("n")), CLASSES)
+    room = stats[:CLASSES] + SMOOTH * (stats[CLASSES:] + 1)
+    return replace(units_model, table=table, transition=_transition(table), room=room)
+
+
+def _scores(classed: DataFrame, model) -> DataFrame:
+    """Scores of the documents of each bundle."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        # an end is always sure within its class
+        room = np.append(np.log10(m.room[:-1]), 0.0)
+        for b in batches:
+            for w, x, y, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                who, count, sums = np.frombuffer(_expand(w), _WHO), _unpack(x, np.int64), np.frombuffer(_expand(z), _SUMS)
+                now = np.frombuffer(_expand(y), np.uint8).astype(np.int64)
+                before = np.concatenate([[CLASSES - 1], now[:-1]])
+                first = np.concatenate([[0], np.cumsum(count)[:-1]])
+                score = np.add.reduceat(m.transition[before, now] - room[now], first) + sums["emission"]
+                plain = sums["base"] - count * np.log10(m.tokens + m.words + 1)
+                ids = pa.array(who["id"].copy(), mask=(who["flags"] & 1) == 0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array((who["flags"] & 2) > 0), pa.array(count), pa.array(sums["known"].copy()), pa.array(np.full(len(count), m.tokens, np.int64)), pa.array(plain), pa.array(score), pa.array(10 ** (-score / count))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return map_runs(rows, ["gid"], ["kind", "seq"], apply, schema)
+    return classed.where("unit = -1").select("a", "b", "c", "d").mapInArrow(apply, schema)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,6 +576,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     # compressed lists take about 8 bytes an entry
     entries = (tokens.where("kind = 0").agg(F.sum(F.length("a"))).first()[0] or 0) // 8
     bits = max(0, int(entries // SHARD)).bit_length()
-    replies = scratch.write(_replies(_requests(tokens, bits)), "replies")
-    model = spark.sparkContext.broadcast(_model(replies, given))
-    return _scores(tokens.union(replies.where("kind = 1")), model)
+    found = _model(scratch.write(_heads(_requests(tokens, bits)), "heads"), given)
+    model = spark.sparkContext.broadcast(found)
+    # contexts outnumber words
+    bits += 2
+    replies = scratch.write(_replies(_requests(tokens, bits).union(_contexts(given, model, bits)), model), "replies")
+    classed = scratch.write(_classed(tokens.union(replies.where("kind = 1"))), "classed")
+    return _scores(classed, spark.sparkContext.broadcast(_settled(found, replies, classed)))

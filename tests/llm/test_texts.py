@@ -204,6 +204,56 @@ def test_model_is_a_distribution(spark, sf, monkeypatch):
     assert np.allclose(total[used], 1) and m.words == len(h) + 1 and m.tokens == c.sum() + docs.count()
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_every_training_word_has_the_class_of_its_contexts(spark, monkeypatch, small):
+    """Rare words of one ending go to the classes of the common words they stand in for."""
+    if small:
+        for name, x in (("GROUP", 3000), ("SHARD", 300), ("HELD", 500), ("JUDGED", 64)):
+            monkeypatch.setattr(brown_lm, name, x)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.sample([f"f{i}" for i in range(520)], 520)) for _ in range(30)] + ["left hx right", "hy up hy"] * 400
+    texts += [t for i in range(300) for t in [f"left x{i}zz right", f"y{i}zz up y{i}zz"] * (1 + i % 3)]
+    seen = {}
+    keep = brown_lm._scores
+    monkeypatch.setattr(brown_lm, "_scores", lambda classed, model: seen.update(rows=classed, model=model.value) or keep(classed, model))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert brown_lm.score(docs, F.lit(False)).count() == len(texts)
+    class_of, count = {}, Counter()
+    for r in seen["rows"].where("unit = -1").collect():
+        who, n = np.frombuffer(brown_lm._expand(r["a"]), brown_lm._WHO), brown_lm._unpack(r["b"], np.int64)
+        k = np.frombuffer(brown_lm._expand(r["c"]), np.uint8)
+        for i, part in zip(who["id"].tolist(), np.split(k, np.cumsum(n)[:-1]), strict=True):
+            for w, x in zip([*texts[i].split(), None], part.tolist(), strict=True):
+                assert class_of.setdefault(w, x) == x
+                count[w] += 1
+    assert class_of["hx"] != class_of["hy"] and class_of[None] == brown_lm.CLASSES - 1
+    assert {class_of[f"x{i}zz"] for i in range(300)} == {class_of["hx"]} and {class_of[f"y{i}zz"] for i in range(300)} == {class_of["hy"]}
+    m = seen["model"]
+    assert np.allclose((10**m.transition).sum(axis=1), 1)
+    # the words of a class and one unseen word fill it
+    for k in set(class_of.values()) - {brown_lm.CLASSES - 1}:
+        assert sum(count[w] + brown_lm.SMOOTH for w, x in class_of.items() if x == k) + brown_lm.SMOOTH == pytest.approx(m.room[k])
+
+
+def test_best_classes_match_brute_force():
+    rng = np.random.default_rng(4)
+    c = brown_lm.CLASSES
+    table = rng.poisson(3, (c, c)) * (rng.random((c, c)) < 0.4)
+    table[5], table[:, 5] = 0, 0
+    at, context, n, now = rng.integers(0, 30, 400), rng.integers(0, 2 * c, 400), rng.integers(1, 4, 400), rng.integers(6, 12, 30)
+    got = brown_lm.best_classes(at, context, n, now, table)
+    before, after = ((x + 1) / (x.sum() + c) for x in (table.sum(axis=1), table.sum(axis=0)))
+    for w in range(30):
+        own = np.bincount(context[at == w], n[at == w], 2 * c)
+        value = {}
+        for k in set(range(c - 1)) - {5}:
+            less, n_w = (own, own[:c].sum()) if k == now[w] else (np.zeros(2 * c), 0)
+            left = (np.maximum(table[:, k] - less[:c], 0) + before) / (max(table[:, k].sum() - n_w, 0) + 1)
+            right = (np.maximum(table[k] - less[c:], 0) + after) / (max(table[k].sum() - n_w, 0) + 1)
+            value[k] = own[:c] @ np.log(left) + own[c:] @ np.log(right)
+        assert value[got[w]] == pytest.approx(max(value.values()))
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     true = rng.integers(0, 4, 40)
