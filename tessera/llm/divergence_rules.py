@@ -6,7 +6,7 @@ language in the corpus, by Jensen-Shannon distance. The references are sums over
 pass the base rules. Words are counted in a fixed number of hash bins, so the counts have the same
 bounded size whatever the vocabulary; a language's common words are its largest bins. A document is
 judged by the language it is nearest to, and only by a histogram it has enough words or characters
-for; a sampling allowance that shrinks with length is taken off the distance.
+for; a sampling allowance that shrinks with length is taken off the divergence, the distance's square.
 
 Defined results: null, empty and blank texts have no words, fail the base rules and are not kept; a
 null lang counts for no reference; without any reference the base rules decide alone; repeated rows are
@@ -186,11 +186,13 @@ def divergences(texts: Texts, words: Words, ref: Reference) -> tuple[np.ndarray,
     by_class, by_word = np.array(by_class), np.array(by_word)
     near = (by_class + by_word).argmin(axis=0)
     at = np.arange(texts.n)
-    # a sample of n has a divergence of about (cells - 1) / (8 n ln 2) from its own source
-    noise = lambda cells, n: np.sqrt((cells - 1) / (8 * np.log(2) * np.maximum(n, 1)))
-    a = np.where(chars < GUARD_CHARS, 0, by_class[near, at] - noise(len(CLASSES), chars))
-    b = np.where(words.count < GUARD_WORDS, 0, by_word[near, at] - noise(COMMON + 1, words.count))
-    return a, b
+    return np.where(chars < GUARD_CHARS, 0, less_noise(by_class[near, at], len(CLASSES), chars)), np.where(words.count < GUARD_WORDS, 0, less_noise(by_word[near, at], COMMON + 1, words.count))
+
+
+def less_noise(found: np.ndarray, cells: int, n: np.ndarray) -> np.ndarray:
+    """Distances of samples of n, without what chance adds to the divergence (the distance's square): a
+    sample of n has a divergence of about (cells - 1) / (8 n ln 2) from its own source."""
+    return np.sqrt(np.maximum(found**2 - (cells - 1) / (8 * np.log(2) * np.maximum(n, 1)), 0))
 
 
 def _verdicts(part: pa.RecordBatch, text_at: int, ref: Reference | None) -> tuple[Base, np.ndarray, np.ndarray, np.ndarray]:

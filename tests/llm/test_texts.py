@@ -91,6 +91,17 @@ def test_distance():
     assert np.allclose(divergence_rules.distance(p, q), [1, 0, want])
 
 
+def test_texts_without_common_words_are_not_kept(spark, sf):
+    """What chance adds is taken off the divergence, so the word limit holds for short texts as well."""
+    assert np.allclose(divergence_rules.less_noise(np.array([0.5, 0.1]), 65, np.array([100, 100])), [math.sqrt(0.25 - 64 / (800 * math.log(2))), 0])
+    rnd = random.Random(7)
+    texts = [" ".join("".join(rnd.choice("aeioustnrl") for _ in range(9)) for _ in range(n)) for n in (105, 140, 180, 215)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ref = divergence_rules.reference(spark.read.parquet(f"{sf}/documents.parquet"))
+    for r in divergence_rules.rules(docs, ref).collect():
+        assert not r["base_failed"] and r["word_distance"] > divergence_rules.WORD_LIMIT and not r["kept"]
+
+
 def test_forward_backward_matches_enumeration(monkeypatch):
     import itertools
 
