@@ -189,12 +189,13 @@ class Page:
             elif tag in SCOPES and tag not in closed:
                 return
 
-    def marked(self, low: frozenset[int]) -> list[bool]:
-        """Per node, whether it lies in a branch that is removed."""
+    def marked(self, low: frozenset[int], running: bool = False) -> list[bool]:
+        """Per node, whether it lies in a branch that is removed; running text stays in articles and main,
+        or wherever it is."""
         out = list(self.noise)
         if not low:
             return out
-        fixed = [not i or self.tag[i] in ("html", "body") or (self.tag[i] in RUNNING and (self.article[i] or self.main[i])) for i in range(len(out))]
+        fixed = [not i or self.tag[i] in ("html", "body") or (self.tag[i] in RUNNING and (running or self.article[i] or self.main[i])) for i in range(len(out))]
         for i in range(len(out) - 1, 0, -1):  # what holds running text stays
             if fixed[i] and not out[i]:
                 fixed[self.parent[i]] = True
@@ -203,8 +204,12 @@ class Page:
         return out
 
     def blocks(self, low: frozenset[int] = frozenset()) -> list[str]:
-        """The kept blocks: of the articles if they have text, else of main, else of the body."""
-        gone = self.marked(low)
+        """The kept blocks. Branches of low importance go unless that leaves no text, as on copies of one
+        page; then running text is spared, or if there is none, all but noise."""
+        return self._within(self.marked(low)) or (low and (self._within(self.marked(low, True)) or self._within(self.noise))) or []
+
+    def _within(self, gone: list[bool]) -> list[str]:
+        """Of the blocks not gone: those of the articles if they have text, else of main, else of the body."""
         for within in (self.article, self.main, None):
             found, now = [], []
             for piece in [*self.texts, None]:

@@ -149,6 +149,15 @@ def test_mixing(spark, monkeypatch, how):
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)
 
 
+def test_copies_of_one_page_keep_their_text(spark):
+    """Without article or main, texts that repeat on all pages of a host are kept if nothing else is left."""
+    menu = "<div class=x><div><a href=/a>Home</a></div></div>"
+    plain, bare = f"<body>{menu}<div><h2>Title</h2><p>One text.</p><p>Two texts.</p></div></body>", "<body><div>Only this.</div></body>"
+    rows = [(i, "http://p.org/", plain) for i in range(12)] + [(100 + i, "http://b.org/", bare) for i in range(12)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(12)} == {"Title\nOne text.\nTwo texts."} and {got[100 + i] for i in range(12)} == {"Only this."}
+
+
 def test_mixing_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0
