@@ -17,8 +17,8 @@ from tessera.session import ship
 #: Bits of an id filter: 8 MB whatever the input, so it can always be broadcast.
 FILTER_BITS = 1 << 26
 
-#: Rows that pass to Python at once, at most: with whole texts, more would fill the workers' memory.
-BATCH_ROWS = 2000
+#: Bytes that pass to Python at once, one row at least: texts are whole and may be of any size.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Makes the package known to the executors and lowers the session's Arrow batches to BATCH_ROWS
-    rows where they are larger."""
+    """Makes the package known to the executors and, unless the session says otherwise, bounds the bytes of
+    its Arrow batches; their rows stay as they are set."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:

@@ -82,6 +82,7 @@ def pieces(batch: pa.RecordBatch, text_at: int, size: int = PIECE) -> Iterator[p
 
 def release() -> None:
     """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

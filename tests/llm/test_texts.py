@@ -32,22 +32,37 @@ def test_chunks_do_not_change_tokens(coder):
     for t in texts:
         want = coder.core.encode_ordinary(t)
         assert coder.decode(want) == t.encode()
-        for chunk, overlap in ((400, 40), (64, 8), (50, 50)):
+        for chunk, overlap in ((400, 40), (64, 8), (50, 50), (6000, 300)):
             assert coder.encode(t, chunk, overlap).tolist() == want
-            assert coder.encode(t, chunk, overlap, threads=3).tolist() == want
 
 
-def test_encode_and_decode(spark, coder):
-    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(ODD)], "doc_id long, text string, ids string")
-    done = bpe.decode(bpe.encode(docs, chunk=64, overlap=16)).collect()
+def test_chunks_agree_with_their_neighbours(coder):
+    """Running text is stitched at every overlap; what is carried on is only text without such a place."""
+    text = "Words, words and 12 more. " * 400
+    parts = [coder.chunk(t, last, 40) for t, last in bpe.cut(text, 400, 40)]
+    assert len(parts) > 20 and all(p.over for p in parts) and [p.last for p in parts] == [False] * (len(parts) - 1) + [True]
+    assert [len(t) for t, _ in bpe.cut(text, 400, 40)][:-1] == [440] * (len(parts) - 1)
+    assert not any(coder.chunk(t, last, 40).over for t, last in list(bpe.cut("a" * 2000, 400, 40))[:-1])
+
+
+@pytest.mark.parametrize("dealt", [bpe.DEALT, 30])
+def test_encode_and_decode(spark, coder, dealt):
+    docs = spark.createDataFrame([(i, t, "a", [i]) for i, t in enumerate(ODD)], "doc_id long, text string, ids string, row array<int>").repartition(3)
+    how = {"chunk": 64, "overlap": 16, "dealt": dealt}
+    done = bpe.decode(bpe.encode(docs, check_col="same", **how)).collect()
+    assert len(done) == len(ODD)
     for r in done:
-        assert bytes(r["decoded"]) == (ODD[r["doc_id"]] or "").encode() and r["ids"] == coder.core.encode_ordinary(ODD[r["doc_id"]] or "")
-    for r in bpe.digests(docs).collect():
+        assert bytes(r["decoded"]) == (ODD[r["doc_id"]] or "").encode() and r["ids"] == coder.core.encode_ordinary(ODD[r["doc_id"]] or "") and r["same"] and r["row"] == [r["doc_id"]] and r["text"] == ODD[r["doc_id"]]
+    got = bpe.digests(docs.union(docs), **how).collect()
+    assert len(got) == 2 * len(ODD)
+    for r in got:
         t = ODD[r["doc_id"]] or ""
         ids = coder.core.encode_ordinary(t)
         assert tuple(r)[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert bpe.digests(docs.limit(0)).count() == 0
     assert bpe.decode(spark.createDataFrame([(None,)], "ids array<int>")).first()["decoded"] is None
+    with pytest.raises(KeyError):
+        coder.decode([10**6])
 
 
 def base(text):
