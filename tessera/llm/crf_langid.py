@@ -52,7 +52,7 @@ def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     inner = np.ones(off[-1], bool)
     inner[off[:-1]] = inner[off[1:] - 1] = False
     source = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-    flat[inner] = LOWER[data[source]]
+    flat[inner] = LOWER[data[source]].astype(np.uint64) + np.uint64(1)
     grams, owner = [], []
     word = np.repeat(np.arange(len(start)), length + 2)
     for n in (2, 3, 4):

@@ -1,7 +1,8 @@
 """Vectorised word kernels over the raw UTF-8 buffers of an Arrow string column.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Texts are processed whole, a bounded number of bytes at a time;
-a text longer than that bound is a piece of its own. Word identity is a 64-bit hash of the bytes.
+a text longer than that bound is a piece of its own. Words and lines are told apart by a
+64-bit hash of their bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text in one piece of work; arrays of eight bytes a character stay near 8 MB.
 PIECE = 1 << 20
@@ -18,11 +20,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[65:91] += np.uint64(32)
-LOWER += np.uint64(1)
-PLAIN = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += np.uint8(32)
+#: Spans up to this many bytes are hashed together, in blocks of eight bytes; longer ones by XXH3 each.
+SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,18 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, PIECE + 1)
-        back = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for name, by in (("up", BASE), ("down", back)):
-            out = np.full(size, by, np.uint64)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 class Texts:
     """Rows of a string column as bytes: data, and off with n + 1 offsets. Nulls are empty."""
 
@@ -111,28 +101,33 @@ class Words:
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word; lower: with A-Z as a-z."""
-        return span_hashes(self.texts.data, self.start, self.end, LOWER if lower else PLAIN)
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray = PLAIN) -> np.ndarray:
-    """Hashes of the byte spans [start, end), which are in order and do not overlap. Polynomials
-    modulo 2 ** 64 from prefix sums, in stretches that begin at a span, then finalised."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        a = start[i]
-        j = max(i + 1, int(np.searchsorted(end, a + PIECE, "right")))
-        up, down = powers(int(end[j - 1] - a) + 1)
-        sums = np.zeros(int(end[j - 1] - a) + 1, np.uint64)
-        np.cumsum(letters[data[a : end[j - 1]]] * up[:-1], out=sums[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * STEP
-        i = j
-    return mix(out)
+        return span_hashes(self.texts.data, self.start, self.end, LOWER if lower else None)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the byte spans [start, end); letters: what each byte counts as. Every block of eight
+    bytes, the last filled up with zeros, goes through the finaliser together with all before it, and the
+    length comes first: no two spans are known to meet but by chance, unlike those of a polynomial."""
+    n = end - start
+    if letters is not None:
+        data = letters[data]
+    out = mix(n.astype(np.uint64) * STEP + BASE)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.flatnonzero((n > 0) & (n <= SHORT))
+    first, left = start[at], n[at]
+    while len(at):
+        block = padded[first[:, None] + np.arange(8)].view(np.uint64)[:, 0] & _MASKS[np.minimum(left, 8)]
+        out[at] = mix(out[at] ^ block)
+        more = left > 8
+        at, first, left = at[more], first[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > SHORT).tolist():
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[start[i] : end[i]], seed=int(STEP)))
+    return out
 
 
 def windows(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word windows within texts, and the index of each one's first word."""
+    """Hashes of all k-word windows within texts, and the index of each one's first word. h are hashes, so
+    a polynomial over these few is safe."""
     n = len(h)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -51,12 +51,46 @@ def test_slices_and_pieces():
     assert list(pieces(pa.record_batch([pa.array([], pa.string())], names=["t"]), 0)) == []
 
 
-def test_long_spans_hash_alike(monkeypatch):
-    data = np.frombuffer(b"xxxx abcde" * 30, np.uint8)
-    start, end = np.arange(30) * 10 + 5, np.arange(30) * 10 + 10
-    whole = span_hashes(data, start, end)
-    monkeypatch.setattr("tessera.llm.textkern.PIECE", 16)
-    assert (span_hashes(data, start, end) == whole).all() and len(set(whole.tolist())) == 1
+def test_spans_of_all_lengths():
+    """A span's hash depends on its bytes alone, not on where it lies or what is next to it."""
+    rng = np.random.default_rng(3)
+    spans = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in [*range(1, 80), 500, 5000]] + [b"\0" * n for n in range(1, 80)]
+    seen = []
+    for lead, gap in ((b"", b""), (b"xyz", b"--")):
+        data = lead + gap.join(spans)
+        end = len(lead) + np.cumsum([len(x) + len(gap) for x in spans]) - len(gap)
+        h = span_hashes(np.frombuffer(data, np.uint8), end - [len(x) for x in spans], end)
+        assert [h[i] == span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] for i, x in enumerate(spans)] == [True] * len(spans)
+        seen.append(h.tolist())
+    assert seen[0] == seen[1] and len(set(seen[0])) == len(spans)
+
+
+def thue_morse(n, a, b):
+    """Two strings that every polynomial hash modulo a power of two, whatever its odd base, maps to one value."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+def test_no_structured_collisions():
+    from tessera.llm import divergence_rules, nbsvm
+    from tessera.llm.brown_lm import word_hashes
+
+    x, y = thue_morse(4096, "a", "b")
+    t = Texts(pa.array([f"{x}\n{y}\n{x}", x, y]))
+    w = Words(t)
+    assert divergence_rules.base_counts(t, w).n_dup_lines.tolist() == [1, 0, 0]
+    assert divergence_rules.base_counts(Texts(pa.array([f"{x}\n{y}"])), Words(Texts(pa.array([f"{x}\n{y}"])))).n_dup_lines.tolist() == [0]
+    for h in (w.hashes(lower=True), w.hashes(lower=False), word_hashes(w)):
+        assert len(set(h.tolist())) == 2
+    h, d = shingles(w, 5)
+    assert h[d == 1] != h[d == 2]
+    # as shingles and windows of words
+    p, q = thue_morse(8, "one ", "two ")
+    w = Words(Texts(pa.array([p, q])))
+    h, d = shingles(w, 8)
+    assert len(set(h.tolist())) == 2
+    doc, slot = nbsvm.features(t)
+    assert set(slot[doc == 1].tolist()) != set(slot[doc == 2].tolist())
 
 
 def test_id_filter(spark):
