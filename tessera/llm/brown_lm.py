@@ -1,13 +1,13 @@
 """Language-model scores by Brown classes: exchange clustering, class transitions, word emissions.
 
-Words of the training documents are counted exactly. The commonest words are clustering units of their
-own and every other word belongs to the unit of its ending, so each word has a unit; exchange clustering
-assigns units to classes by the likelihood of class bigrams. These classes are then held fixed, and every
-other training word, however rare, is moved to the class that its own contexts (the classes before and
-after it, all its occurrences summed) fit best; only words not seen in training stay with their ending's
-class. Class bigrams and class sizes are counted again under the words' final classes. A text's
-probability is the product of class transitions (interpolated with class shares) and of emissions
-P(word | class), with one unit of count kept back in each class for words not seen.
+Words of the training documents are counted exactly. Exchange clustering assigns the COMMON commonest
+words to classes by the likelihood of class bigrams; meanwhile all other words are one unit with a class to
+itself. Then every other training word, however rare, gets the class that its own contexts (the classes
+before and after it, all its occurrences summed) fit best; a word's spelling decides nothing. Class bigrams
+and class sizes are counted again under the words' final classes. A word not seen in training
+takes the class that is likeliest to follow the class before it and to hold a word not seen. A text's probability is the
+product of class transitions (interpolated with class shares) and of emissions P(word | class), with one
+unit of count kept back in each class for words not seen.
 
 Counts of all words are not broadcast, since the vocabulary grows with the corpus. Documents are read
 once into groups of bounded size, each with the list of its distinct words. The lists meet in shards of
@@ -16,9 +16,9 @@ and classes back to the groups; a group's documents and its words' classes then
 gathered on the driver is bounded: the commonest words, the bigram counts of units and classes, and totals.
 
 Defined results: a null, empty or blank text is its end alone; a null doc_id is a training document and
-stays null; repeated rows count each time; ties among the commonest words are settled by their hash;
-without training documents N and V are 0, nothing is known and all words are unseen; other columns are
-ignored; no rows give no rows.
+stays null; repeated rows count each time; ties among the commonest words are settled by their hash, ties
+among classes by their number; a very long text is a group of its own; without training documents N and V
+are 0, nothing is known and all words are unseen; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch, map_runs
-from tessera.llm.textkern import LOWER, Texts, Words, mix, pieces
+from tessera.llm.shared import Scratch, added_up, map_runs
+from tessera.llm.textkern import Texts, Words, pieces
 
-COMMON = 512
-ENDINGS = 256
+#: Words that are exchanged one by one, classes, and rounds of exchange at most.
+COMMON = 2048
 CLASSES = 64
-ROUNDS = 12
+ROUNDS = 8
 #: Bytes of text in one group, and entries of word lists in one shard.
 GROUP = 64 << 20
 SHARD = 1 << 21
@@ -49,11 +49,12 @@ JUDGED = 1 << 13
 SMOOTH = 1.0
 #: Weight of class shares beside class transitions.
 SHARE = 0.05
-#: The end of a text; words have odd-numbered bits elsewhere, so no word has this hash.
+#: The end of a text; no word has this hash.
 END = np.uint64(0)
-UNITS = COMMON + ENDINGS + 1
-END_UNIT = UNITS - 1
-_LOW = np.uint64(ENDINGS - 1)
+#: The last two classes are those of the words that are not exchanged and of the end; others are open.
+REST_CLASS, END_CLASS, OPEN = CLASSES - 2, CLASSES - 1, CLASSES - 2
+#: Stands for the class of words not seen until that is known.
+UNSEEN = CLASSES
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -76,13 +77,8 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    """64-bit hashes of lower-cased words; the low byte is a hash of the word's last two bytes."""
-    h = words.hashes(lower=True)
-    data = words.texts.data
-    last = LOWER[data[words.end - 1]] if len(h) else np.zeros(0, np.uint64)
-    before = np.where(words.end - words.start > 1, LOWER[data[np.maximum(words.end - 2, 0)]], np.uint64(0)) if len(h) else last
-    ending = mix(last * np.uint64(512) + before) & _LOW
-    out = (h & ~_LOW) | ending
+    """64-bit hashes of lower-cased words."""
+    out = words.hashes(lower=True)
     out[out == END] = np.uint64(1) << np.uint64(63)
     return out
 
@@ -211,36 +207,27 @@ def _totals(lists: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return words, inverse, total
 
 
-def _heads(requests: DataFrame) -> DataFrame:
-    """For each shard its commonest words, and its tokens and distinct words by ending."""
+_HEADS = "kind int, h long, n long"
+
+
+def _heads(requests: DataFrame, common: int) -> DataFrame:
+    """For each shard its commonest words (kind 0: hash, count) and its totals (kind 1: words, tokens)."""
 
     def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, lists, counts, _ = _gathered(run)
         words, _, total = _totals(lists, counts)
-        seen = total > 0
-        plain = seen & (words != END)
-        ending = (words & _LOW).astype(np.int64)
-        stats = np.concatenate([np.bincount(ending[plain], total[plain], ENDINGS), np.bincount(ending[plain], minlength=ENDINGS), [total[~plain].sum(), (seen & ~plain).sum()]]).astype(np.int64)
-        top = np.flatnonzero(plain)
-        top = top[np.lexsort((words[top], -total[top]))[:COMMON]]
-        packed = (_pack(x) if len(x) else b"" for x in (words[top], total[top], stats))
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["a", "b", "c"])
+        plain = np.flatnonzero((total > 0) & (words != END))
+        top = plain[np.lexsort((words[plain].view(np.int64), -total[plain]))[:common]]
+        h, n = np.append(words[top].view(np.int64), (total > 0).sum()), np.append(total[top], total.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(top), np.int32), np.int32(1))), pa.array(h), pa.array(n)], names=["kind", "h", "n"])
 
-    return map_runs(requests, ["shard"], ["gid"], add, "a binary, b binary, c binary")
+    return map_runs(requests, ["shard"], ["gid"], add, _HEADS)
 
 
-def _summed(parts: DataFrame, size: int) -> np.ndarray:
+def _matrix(parts: DataFrame, size: int) -> np.ndarray:
     """The matrix (size x size) of the sums of packed rows (unit, n)."""
-
-    def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in run:
-            for x in b.column(1).to_pylist():
-                total += _unpack(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([_pack(total)], pa.binary())], names=["unit", "n"])
-
     out = np.zeros((size, size), np.int64)
-    for r in map_runs(parts, ["unit"], [], add, "unit long, n binary").collect():
+    for r in added_up(parts, "unit", "n", lambda x: _unpack(x, np.int64), _pack).collect():
         out[r["unit"]] = _unpack(r["n"], np.int64)
     return out
 
@@ -248,74 +235,88 @@ def _summed(parts: DataFrame, size: int) -> np.ndarray:
 def _bigrams(docs: DataFrame, common: np.ndarray) -> np.ndarray:
     """Counts of unit bigrams over all training documents, a text's start being an end."""
     order = np.argsort(common)
-    ranked = common[order]
+    ranked, size = common[order], len(common) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * UNITS, np.int64)
+        total = np.zeros(size * size, np.int64)
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch.column(0)))
             for part in pieces(batch, 1):
-                h, n = with_ends(Words(Texts(part.column(1))))
+                h, _ = with_ends(Words(Texts(part.column(1))))
                 unit = units(h, ranked, order)
-                before = np.concatenate([[END_UNIT], unit[:-1]])
-                total += np.bincount(before * UNITS + unit, minlength=UNITS * UNITS)
-        matrix = total.reshape(UNITS, UNITS)
+                before = np.concatenate([[size - 1], unit[:-1]])
+                pairs, n = np.unique(before * size + unit, return_counts=True)
+                total[pairs] += n
+        matrix = total.reshape(size, size)
         for i in np.flatnonzero(matrix.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_pack(matrix[i])], pa.binary())], names=["unit", "n"])
 
-    return _summed(docs.select("held_out", "text").mapInArrow(count, "unit long, n binary"), UNITS)
+    return _matrix(docs.select("held_out", "text").mapInArrow(count, "unit long, n binary"), size)
 
 
 def units(h: np.ndarray, ranked: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The clustering unit of each token: its own, its ending's, or the end's."""
-    out = COMMON + (h & _LOW).astype(np.int64)
+    """The clustering unit of each token: its own, then one for all other words, then the end's."""
+    out = np.full(len(h), len(ranked), np.int64)
     if len(ranked):
         at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
         hit = ranked[at] == h
         out[hit] = order[at[hit]]
-    out[h == END] = END_UNIT
+    out[h == END] = len(ranked) + 1
     return out
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
 def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Classes of units from their bigram counts: each unit in turn moves to the class that raises the
-    likelihood of class bigrams most, until none moves. The last unit keeps the last class to itself."""
-    size = len(n)
+    likelihood of class bigrams most, until none moves or the rounds are over. The last two units keep the
+    last two classes to themselves."""
+    size, free = len(n), classes - 2
+    n = np.ascontiguousarray(n, dtype=np.float64)
+    into = np.ascontiguousarray(n.T)
     weight = n.sum(axis=0) + n.sum(axis=1)
     of = np.empty(size, np.int64)
-    by_weight = np.argsort(-weight[:-1], kind="stable")
-    of[by_weight] = np.arange(size - 1) % (classes - 1)
-    of[-1] = classes - 1
+    by_weight = np.argsort(-weight[:-2], kind="stable")
+    of[by_weight] = np.arange(size - 2) % free
+    of[-2:] = free, free + 1
     hot = np.zeros((size, classes))
     hot[np.arange(size), of] = 1
     pair = hot.T @ n @ hot
-    log = lambda x: np.where(x > 0, x * np.log(np.where(x > 0, x, 1)), 0.0)
+    left, right = pair.sum(axis=1), pair.sum(axis=0)
+    to = np.arange(free)
+    by_weight = by_weight[weight[by_weight] > 0]
     for _ in range(rounds):
         moved = 0
-        for w in by_weight[weight[by_weight] > 0].tolist():
-            row, column, own = n[w] @ hot, n[:, w] @ hot, float(n[w, w])
-            k = of[w]
+        for w in by_weight.tolist():
+            k, own = int(of[w]), n[w, w]
+            row, column = n[w] @ hot, into[w] @ hot
             row[k] -= own
             column[k] -= own
-            # without w
+            out_w, in_w = row.sum() + own, column.sum() + own
+            # without w; wherever it goes, classes before and after it keep their bigrams with it
             pair[k] -= row
             pair[:, k] -= column
             pair[k, k] -= own
-            # wherever w goes, classes before and after it keep their bigrams with it
-            left, right = pair.sum(axis=1) + column, pair.sum(axis=0) + row
-            to = np.arange(classes - 1)
+            left[k] -= out_w
+            right[k] -= in_w
             # with w in class x: row x gains row, column x gains column, and cell (x, x) own too
-            grown_row = log(pair[to] + row[None, :]) - log(pair[to])
-            grown_col = log(pair[:, to].T + column[None, :]) - log(pair[:, to].T)
-            corner = log(pair[to, to] + row[to] + column[to] + own) - log(pair[to, to])
-            gain = grown_row.sum(axis=1) - grown_row[to, to] + grown_col.sum(axis=1) - grown_col[to, to] + corner
-            out_w, in_w = row.sum() + own, column.sum() + own
-            gain -= log(left[to] + out_w) - log(left[to]) + log(right[to] + in_w) - log(right[to])
+            after, before = np.flatnonzero(row), np.flatnonzero(column)
+            old_row, old_col = pair[:free, after], pair[before, :free].T
+            grown_row = _xlogx(old_row + row[after]) - _xlogx(old_row)
+            grown_col = _xlogx(old_col + column[before]) - _xlogx(old_col)
+            corner = pair[to, to]
+            gain = grown_row.sum(axis=1) + grown_col.sum(axis=1) + _xlogx(corner + row[:free] + column[:free] + own) - _xlogx(corner)
+            gain -= _xlogx(corner + row[:free]) - _xlogx(corner) + _xlogx(corner + column[:free]) - _xlogx(corner)
+            gain -= _xlogx(left[:free] + out_w) - _xlogx(left[:free]) + _xlogx(right[:free] + in_w) - _xlogx(right[:free])
             best = int(gain.argmax())
-            best = best if gain[best] > gain[k] + 1e-9 else int(k)
+            best = best if gain[best] > gain[k] + 1e-9 else k
             pair[best] += row
             pair[:, best] += column
             pair[best, best] += own
+            left[best] += out_w
+            right[best] += in_w
             if best != k:
                 hot[w, k], hot[w, best], of[w] = 0, 1, best
                 moved += 1
@@ -327,7 +328,8 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
 @dataclass
 class Model:
     """tokens: N; words: V; common: hashes of the commonest words; class_of: by unit; table: class
-    bigrams; transition: log10 P(class | class before); room: by class, tokens + SMOOTH * (distinct words + 1)."""
+    bigrams; transition: log10 P(class | class before); room: by class, tokens + SMOOTH * (distinct words
+    + 1); unseen: by the class before it, the class of a word not seen."""
 
     tokens: int
     words: int
@@ -336,14 +338,7 @@ class Model:
     table: np.ndarray
     transition: np.ndarray
     room: np.ndarray
-
-    def of_words(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, log10 emission, base log10 probability) of words with corpus counts c."""
-        order = np.argsort(self.common)
-        k = self.class_of[units(h, self.common[order], order)]
-        # an end is always sure within its class
-        emission = np.where(h == END, 0.0, np.log10((c + SMOOTH) / self.room[k]))
-        return k, emission, np.log10((c + 1) / (self.tokens + self.words + 1))
+    unseen: np.ndarray
 
 
 def _transition(table: np.ndarray) -> np.ndarray:
@@ -352,32 +347,17 @@ def _transition(table: np.ndarray) -> np.ndarray:
     return np.log10((1 - SHARE) * after + SHARE * share[None, :])
 
 
-def _model(heads_of: DataFrame, docs: DataFrame) -> Model:
-    """The model of units, in which every word has its unit's class."""
-    stats = np.zeros(2 * ENDINGS + 2, np.int64)
-    heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for r in heads_of.coalesce(8).toLocalIterator():
-        stats += _unpack(r["c"], np.int64)
-        if r["a"]:
-            h, n = np.concatenate([heads[0], _unpack(r["a"], np.uint64)]), np.concatenate([heads[1], _unpack(r["b"], np.int64)])
-            best = np.lexsort((h, -n))[:COMMON]
-            heads = h[best], n[best]
-    common, n_common = heads
-    tokens, distinct = stats[:ENDINGS].copy(), stats[ENDINGS : 2 * ENDINGS].copy()
-    n, v = int(tokens.sum() + stats[-2]), int(distinct.sum() + stats[-1])
-    ending = (common & _LOW).astype(np.int64)
-    np.subtract.at(tokens, ending, n_common)
-    np.subtract.at(distinct, ending, 1)
+def _model(heads: DataFrame, docs: DataFrame, most: int) -> Model:
+    """The model of units, in which all but the commonest words have the rest's class."""
+    top = heads.where("kind = 0").orderBy(F.desc("n"), "h").limit(most).collect()
+    common = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    total = heads.where("kind = 1").agg(F.sum("n").alias("n"), F.sum("h").alias("v")).first()
     pairs = _bigrams(docs, common)
     class_of = exchange(pairs)
-    unit_tokens, unit_words = np.zeros(UNITS), np.zeros(UNITS)
-    unit_tokens[: len(common)], unit_words[: len(common)] = n_common, 1
-    unit_tokens[COMMON : COMMON + ENDINGS], unit_words[COMMON : COMMON + ENDINGS] = tokens, distinct
-    room = np.bincount(class_of, unit_tokens, CLASSES) + SMOOTH * (np.bincount(class_of, unit_words, CLASSES) + 1)
-    hot = np.zeros((UNITS, CLASSES))
-    hot[np.arange(UNITS), class_of] = 1
+    hot = np.zeros((len(class_of), CLASSES))
+    hot[np.arange(len(class_of)), class_of] = 1
     table = hot.T @ pairs @ hot
-    return Model(n, v, common, class_of, table, _transition(table), room)
+    return Model(total["n"] or 0, total["v"] or 0, common, class_of, table, _transition(table), np.ones(CLASSES), np.zeros(CLASSES, np.int64))
 
 
 def _contexts(docs: DataFrame, model, bits: int) -> DataFrame:
@@ -411,12 +391,12 @@ def _contexts(docs: DataFrame, model, bits: int) -> DataFrame:
                 h, _ = with_ends(Words(Texts(part.column(1))))
                 unit = units(h, ranked, order)
                 k = m.class_of[unit]
-                tail = np.flatnonzero((unit >= COMMON) & (unit != END_UNIT))
+                tail = np.flatnonzero(unit == len(ranked))
                 if not len(tail):
                     continue
                 words, at = np.unique(h[tail], return_inverse=True)
                 # a text follows an end, and every text has one
-                before = np.where(tail > 0, k[tail - 1], CLASSES - 1)
+                before = np.where(tail > 0, k[tail - 1], END_CLASS)
                 keys, n = np.unique(np.concatenate([at * sides + before, at * sides + CLASSES + k[tail + 1]]), return_counts=True)
                 held.append((words[keys // sides], keys % sides, n))
                 if sum(len(x) for x, _, _ in held) >= HELD:
@@ -428,30 +408,28 @@ def _contexts(docs: DataFrame, model, bits: int) -> DataFrame:
     return docs.select("held_out", "text").mapInArrow(apply, _REQUESTS)
 
 
-def best_classes(at: np.ndarray, context: np.ndarray, n: np.ndarray, now: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each word, now in class now, the class whose contexts in table are likeliest to give the word's
-    own: n of each context of the word with the number at. Its own counts are taken out of the class it
-    leaves, as exchange does; the end's class and classes without tokens take no words."""
+def best_classes(at: np.ndarray, context: np.ndarray, n: np.ndarray, words: int, table: np.ndarray) -> np.ndarray:
+    """For each of the words the class whose contexts in table are likeliest to give the word's own: n of
+    each context of the word with the number at. Classes without tokens, and those of the rest and of the
+    end, take no words; if there is no other, words stay with the rest."""
     sides = 2 * CLASSES
     size = np.concatenate([np.repeat(table.sum(axis=0)[None, :], CLASSES, axis=0), np.repeat(table.sum(axis=1)[None, :], CLASSES, axis=0)]).astype(float)
     pair = np.concatenate([table, table.T]).astype(float)  # context x class
     prior = SMOOTH * np.concatenate([(x + 1) / (x.sum() + CLASSES) for x in (table.sum(axis=1), table.sum(axis=0))])
     weight = np.log((pair + prior[:, None]) / (size + SMOOTH))
     closed = table.sum(axis=0) + table.sum(axis=1) == 0
-    closed[CLASSES - 1] = True
-    best = now.copy()
+    closed[OPEN:] = True
+    best = np.full(words, REST_CLASS, np.int64)
+    if closed.all():
+        return best
     keys, where = np.unique(at * sides + context, return_inverse=True)
     n = np.bincount(where, n)
     at, context = keys // sides, keys % sides
-    occurs = np.bincount(at[context < CLASSES], n[context < CLASSES], len(now))
-    k = now[at]
-    stay = np.bincount(at, n * np.log((np.maximum(pair[context, k] - n, 0) + prior[context]) / (np.maximum(size[context, k] - occurs[at], 0) + SMOOTH)), len(now))
-    for lo in range(0, len(now), JUDGED):
-        hi = min(lo + JUDGED, len(now))
+    for lo in range(0, words, JUDGED):
+        hi = min(lo + JUDGED, words)
         part = slice(*np.searchsorted(at, [lo, hi]))
         value = np.bincount((at[part] - lo) * sides + context[part], n[part], (hi - lo) * sides).reshape(-1, sides) @ weight
         value[:, closed] = -np.inf
-        value[np.arange(hi - lo), now[lo:hi]] = stay[lo:hi]
         best[lo:hi] = value.argmax(axis=1)
     return best
 
@@ -467,12 +445,14 @@ def _replies(asked: DataFrame, model) -> DataFrame:
         order = np.argsort(m.common)
         unit = units(words, m.common[order], order)
         k = m.class_of[unit]
-        own = np.flatnonzero((total > 0) & (unit >= COMMON) & (unit != END_UNIT))
+        own = np.flatnonzero((total > 0) & (unit == len(order)))
         if contexts:
             at = np.concatenate([np.repeat(np.searchsorted(words[own], x), each) for x, each, _ in contexts])
             entries = np.concatenate([x for _, _, x in contexts])
-            k[own] = best_classes(at, entries % (2 * CLASSES), entries // (2 * CLASSES), k[own], m.table)
-        plain = (total > 0) & (words != END)
+            k[own] = best_classes(at, entries % (2 * CLASSES), entries // (2 * CLASSES), len(own), m.table)
+        seen = total > 0
+        k[~seen] = UNSEEN
+        plain = seen & (words != END)
         stats = np.concatenate([np.bincount(k[plain], total[plain], CLASSES), np.bincount(k[plain], minlength=CLASSES)]).astype(np.int64)
 
         def row(kind: int, gid: int, a: np.ndarray, b: bytes) -> pa.RecordBatch:
@@ -491,7 +471,7 @@ def _replies(asked: DataFrame, model) -> DataFrame:
 _CLASSED = "unit long, a binary, b binary, c binary, d binary"
 
 
-def _classed(rows: DataFrame) -> DataFrame:
+def _classed(rows: DataFrame, groups: int) -> DataFrame:
     """From each group's word list, the replies to it and its bundles: class bigrams of its training
     documents (unit is the class before, a the counts), and bundles (unit -1) of documents with token
     counts, the classes of the tokens, and the sums of known tokens and of log10(count + 1) of tokens and words."""
@@ -519,7 +499,7 @@ def _classed(rows: DataFrame) -> DataFrame:
                     count, at = _unpack(y, np.int64), _unpack(z, np.uint32)
                     first = np.concatenate([[0], np.cumsum(count)[:-1]])
                     now = k[at]
-                    before = np.concatenate([[CLASSES - 1], now[:-1]])  # a text follows an end
+                    before = np.concatenate([[END_CLASS], now[:-1]])  # a text follows an end
                     held = (np.frombuffer(_expand(x), _WHO)["flags"] & 2) > 0
                     train = np.repeat(~held, count)
                     table += np.bincount(before[train] * CLASSES + now[train], minlength=len(table))
@@ -530,17 +510,35 @@ def _classed(rows: DataFrame) -> DataFrame:
         for i in np.flatnonzero(matrix.any(axis=1)).tolist():
             yield row(i, _pack(matrix[i]), b"", b"", b"")
 
-    return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED)
+    return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED, partitions=groups)
+
+
+def settle(now: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """Gives the words not seen among the tokens' classes now, in place, the classes that the classes
+    before them ask for, one after another; returns the class before each token."""
+    new = now == UNSEEN
+    place = np.arange(len(now))
+    # how many unseen words end here, and the class before the first of them; a text follows an end
+    run = np.where(new, place - np.maximum.accumulate(np.where(new, -1, place)), 0)
+    first = np.where(place - run < 0, END_CLASS, now[place - run])
+    after = [np.arange(CLASSES)]
+    for _ in range(int(run.max(initial=0))):
+        after.append(unseen[after[-1]])
+    now[new] = np.stack(after)[run[new], first[new]]
+    return np.concatenate([[END_CLASS], now[:-1]])
 
 
 def _settled(units_model: Model, replies: DataFrame, classed: DataFrame) -> Model:
     """The model under the words' final classes."""
-    stats = np.zeros(2 * CLASSES, np.int64)
-    for r in replies.where("kind = 3").select("a").coalesce(8).toLocalIterator():
-        stats += _unpack(r["a"], np.int64)
-    table = _summed(classed.where("unit >= 0").select("unit", F.col("a").alias("n")), CLASSES)
-    room = stats[:CLASSES] + SMOOTH * (stats[CLASSES:] + 1)
-    return replace(units_model, table=table, transition=_transition(table), room=room)
+    parts = replies.where("kind = 3").select(F.lit(0).cast("long").alias("unit"), F.col("a").alias("n"))
+    rows = added_up(parts, "unit", "n", lambda x: _unpack(x, np.int64), _pack).collect()
+    tokens, words = (_unpack(rows[0]["n"], np.int64) if rows else np.zeros(2 * CLASSES, np.int64)).reshape(2, -1)
+    table = _matrix(classed.where("unit >= 0").select("unit", F.col("a").alias("n")), CLASSES)
+    room, transition = tokens + SMOOTH * (words + 1), _transition(table)
+    # of the open classes that have words, if any has
+    value = transition - np.log10(room)
+    value[:, np.append(tokens[:OPEN] == 0, [tokens.any(), True])] = -np.inf
+    return replace(units_model, table=table, transition=transition, room=room, unseen=value.argmax(axis=1))
 
 
 def _scores(classed: DataFrame, model) -> DataFrame:
@@ -554,7 +552,7 @@ def _scores(classed: DataFrame, model) -> DataFrame:
             for w, x, y, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 who, count, sums = np.frombuffer(_expand(w), _WHO), _unpack(x, np.int64), np.frombuffer(_expand(z), _SUMS)
                 now = np.frombuffer(_expand(y), np.uint8).astype(np.int64)
-                before = np.concatenate([[CLASSES - 1], now[:-1]])
+                before = settle(now, m.unseen)
                 first = np.concatenate([[0], np.cumsum(count)[:-1]])
                 score = np.add.reduceat(m.transition[before, now] - room[now], first) + sums["emission"]
                 plain = sums["base"] - count * np.log10(m.tokens + m.words + 1)
@@ -565,21 +563,21 @@ def _scores(classed: DataFrame, model) -> DataFrame:
     return classed.where("unit = -1").select("a", "b", "c", "d").mapInArrow(apply, schema)
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """One row for each row of docs, learned from those that are not held_out: doc_id, held_out,
     n_tokens, n_known, train_tokens (N), base_score (add-one unigram), score (log10 probability of the
-    text under the class model) and perplexity."""
+    text under the class model) and perplexity. common: how many words are exchanged one by one."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "brown")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     tokens = scratch.write(_tokens(given), "tokens")
     # compressed lists take about 8 bytes an entry
-    entries = (tokens.where("kind = 0").agg(F.sum(F.length("a"))).first()[0] or 0) // 8
-    bits = max(0, int(entries // SHARD)).bit_length()
-    found = _model(scratch.write(_heads(_requests(tokens, bits)), "heads"), given)
+    size, groups = tokens.where("kind = 0").agg(F.sum(F.length("a")), F.count("*")).first()
+    bits = max(0, int((size or 0) // 8 // SHARD)).bit_length()
+    found = _model(scratch.write(_heads(_requests(tokens, bits), common), "heads"), given, common)
     model = spark.sparkContext.broadcast(found)
     # contexts outnumber words
     bits += 2
     replies = scratch.write(_replies(_requests(tokens, bits).union(_contexts(given, model, bits)), model), "replies")
-    classed = scratch.write(_classed(tokens.union(replies.where("kind = 1"))), "classed")
+    classed = scratch.write(_classed(tokens.union(replies.where("kind = 1")), max(1, groups)), "classed")
     return _scores(classed, spark.sparkContext.broadcast(_settled(found, replies, classed)))

@@ -160,6 +160,26 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable, sch
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
 
 
+#: Rows of one key that are added up in one task, at most.
+SUMMED = 64
+
+
+def added_up(parts: DataFrame, key: str, value: str, read: Callable, write: Callable) -> DataFrame:
+    """(key, value): sums by key of arrays that read makes of bytes and write turns into bytes again. The
+    rows of a key are added up in many tasks first."""
+    schema = f"{key} long, {value} binary"
+
+    def add(at: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in run:
+            for x in b.column(b.num_columns - 1):
+                total = total + read(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([write(total)], pa.binary())], names=[key, value])
+
+    dealt = parts.select(F.col(key).cast("long").alias(key), F.pmod(F.monotonically_increasing_id() + F.shiftrightunsigned(F.monotonically_increasing_id(), 33), F.lit(SUMMED)).alias("_salt"), F.col(value).alias(value))
+    return map_runs(map_runs(dealt, [key, "_salt"], [], add, schema), [key], [], add, schema)
+
+
 def bit_of_id(col: str, mod: int) -> F.Column:
     """crc32 of the id's decimal text modulo mod; a null id counts as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod)), F.lit(0)).cast("int")
