@@ -510,7 +510,7 @@ def _classed(rows: DataFrame, groups: int) -> DataFrame:
         for i in np.flatnonzero(matrix.any(axis=1)).tolist():
             yield row(i, _pack(matrix[i]), b"", b"", b"")
 
-    return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED, partitions=groups)
+    return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED, partitions=4 * groups)
 
 
 def settle(now: np.ndarray, unseen: np.ndarray) -> np.ndarray:

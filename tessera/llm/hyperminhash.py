@@ -6,15 +6,19 @@ bits after it. Bands of registers propose candidates, the collision-corrected Ja
 sketches sorts out most false ones, and the rest are confirmed on full sets.
 
 No pairs are listed within a group. Equal sets are one class, which takes part once. In a band's
-bucket, members meet one leader (a star); links of a star join most groups, and only buckets that
-still span several components are compared further, in blocks, sketch against sketch. So a group of
-any size costs in proportion to its members, and no link between different texts is lost beyond
-the chance that banding misses a pair: with 32 bands of 4 registers, (1 - s**4)**32, or 5e-6 at
-similarity s = 0.75.
+bucket, members meet one leader (a star); links of a star join most groups. Only buckets that still
+span several components are compared further, in blocks of bounded bytes: sketch against sketch first,
+then on full sets those members that may be linked with a member of another component; of the links
+found a block returns a spanning forest. So a group of any size costs in proportion to its members, and no
+link between different texts is lost beyond the chance that banding misses a pair: with 32 bands of 4
+registers, (1 - s**4)**32, or 5e-6 at similarity s = 0.75. Registers of the smallest sets are not independent
+enough for that, so these are banded by their least shingles as well: of two sets that are linked,
+the n - ceil(s * n) + 1 least shingles of each have one in common.
 
 Defined results: null, empty or blank texts have the empty set, are linked with nothing and are kept;
-a text with fewer words than a shingle is one shingle; rows that share a doc_id are one vertex and
-each gets a row; a null doc_id is linked with nothing, has a null component and is kept; other columns
+a text with fewer words than a shingle is one shingle; very long texts are taken whole; rows that share a
+doc_id are one vertex, whatever their texts with words, and each gets a row; equal sets are linked; among equally
+similar leaders the one with the largest id is tried first, which decides nothing; a null doc_id is linked with nothing, has a null component and is kept; other columns
 are ignored; no rows give no rows.
 """
 
@@ -36,11 +40,17 @@ PERCENT = 75
 REGISTERS = 128
 BAND = 4
 MANTISSA = 10
-#: Estimates below PERCENT by more than this many standard errors are not verified (1 in a million).
-ERRORS = 5.0
-#: Members of a bucket that are compared with one another in one task at a time, and hashes of theirs.
+#: Estimates below PERCENT by more than this many standard errors of independent registers are not verified.
+#: Those of small sets depend on one another, which raises the error by up to a sixth.
+ERRORS = 6.0
+#: Pairs whose smaller set has up to so many shingles are proposed without fail, and are not estimated.
+SMALL = 16
+#: Members of a bucket that are compared with one another in one task at a time, their shingles on
+#: average, and the shingles and members that are multiplied at once.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 COLUMNS = 8192
+ROWS = 16
 #: Members of one leader that are verified in one task at a time.
 STAR = 1024
 #: Any odd-looking bits: they set the order in which ids become leaders.
@@ -98,8 +108,17 @@ def _floor(percent: int, m: int) -> float:
     return max(0.0, s - ERRORS * (s * (1 - s) / m) ** 0.5)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, regs): set sizes, 128-bit set digests and sketches."""
+def _may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether sizes and sketches allow a link, estimates)."""
+    est = estimate(a, b, na, nb)
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    return ((small <= SMALL) | (est >= _floor(percent, REGISTERS))) & (100 * small >= percent * large), est
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, regs, least): set sizes, 128-bit set digests, sketches, and of sets that
+    may be linked with a small one their least shingles."""
+    most = SMALL * 100 // percent
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +137,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 flat = pa.py_buffer(regs.tobytes())
                 width = REGISTERS * 2
                 binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), flat])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(size), pa.array(digest[0]), pa.array(digest[1]), binary], names=["doc_id", "n_shingles", "d1", "d2", "regs"])
+                length = np.where(size <= most, size - -(-percent * size // 100) + 1, 0)
+                least = [h[a : a + k].tobytes() for a, k in zip(edge[:-1].tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(size), pa.array(digest[0]), pa.array(digest[1]), binary, pa.array(least, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "regs", "least"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, n_shingles long, d1 long, d2 long, regs binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, "doc_id long, n_shingles long, d1 long, d2 long, regs binary, least binary")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -128,7 +149,7 @@ def _regs(column: pa.Array) -> np.ndarray:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, id): one row for each class and band."""
+    """(key, id): one row for each class and band, and for each of its least shingles."""
     count = REGISTERS // BAND
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,23 +157,25 @@ def _bands(classes: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             key = mix(_regs(b.column(1)).reshape(-1, BAND).view(np.uint64).reshape(b.num_rows, count) + np.arange(count, dtype=np.uint64) * STEP)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count))], names=["key", "id"])
+            ids = b.column(0).to_numpy()
+            least = [x.as_buffer() for x in b.column(2)]
+            more = mix(np.frombuffer(b"".join(least), np.uint64) ^ BASE)
+            keys, owners = np.concatenate([key.ravel(), more]), np.concatenate([np.repeat(ids, count), np.repeat(ids, [x.size // 8 for x in least])])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners)], names=["key", "id"])
 
-    return classes.select("id", "regs").mapInArrow(apply, "key long, id long")
+    return classes.select("id", "regs", "least").mapInArrow(apply, "key long, id long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, est) of the pairs whose sizes and sketches allow the similarity."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    least = _floor(percent, REGISTERS)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
-            est = estimate(_regs(b.column(3)), _regs(b.column(5)), na, nb)
-            keep = (est >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            keep, est = _may_link(_regs(b.column(3)), _regs(b.column(5)), na, nb, percent)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], names=["a", "b", "est"]).filter(pa.array(keep))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -182,21 +205,24 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     members = salted.join(texts, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("kind"), "id", "text")
 
     def compare(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found = None, []
+        own, found = [], []  # a leader's texts are several if rows share its id
         for b in run:
             kinds, ids = b.column(2).to_pylist(), b.column(3).to_pylist()
             for kind, other, one in zip(kinds, ids, _sets(b.column(4), words), strict=True):
                 if kind == 0:
-                    own = one
-                elif own is not None:
-                    common = len(np.intersect1d(own, one, assume_unique=True))
-                    if common and 100 * common >= percent * (len(own) + len(one) - common):
-                        found.append(other)
+                    own.append(one)
+                elif any(_similar(x, one, percent) for x in own):
+                    found.append(other)
         yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["u", "v"])
 
     return map_runs(leaders.union(members), ["a", "salt"], ["kind"], compare, "u long, v long")
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _set_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(sid, shingles) of the wanted ids (column id): sorted distinct hashes as bytes."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
@@ -234,19 +260,50 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _across(buckets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that join different components within buckets (key, id, component, shingles). Blocks
-    of members meet block by block in one task each, on full sets; of the links found, a spanning forest
-    is returned, so the rows that come out are no more than the members that went in."""
-    count = buckets.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    own = buckets.join(count, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (key, id, component, n_shingles, regs) of buckets, dealt so that each two blocks of a
+    bucket meet once: (key, i, j, own, ...), own being i or j."""
+    size = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    count = members.groupBy(F.col("key").alias("k")).agg(F.ceil(size).cast("long").alias("blocks"))
+    own = members.join(count, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "shingles")
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "regs")
+
+
+_MEMBERS = "key long, i long, j long, own long, id long, component long"
+
+
+def _maybe_linked(dealt: DataFrame, percent: int) -> DataFrame:
+    """The dealt members whose size and sketch allow a link with a member of another component in the
+    block that theirs meets: as many rows as went in at most."""
+
+    def compare(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(run)).combine_chunks()
+        block, comp, n = (rows.column(c).to_numpy() for c in ("own", "component", "n_shingles"))
+        regs = _regs(rows.column("regs").chunk(0))
+        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        hit = np.zeros(len(n), bool)
+        for lo in range(0, len(left), ROWS):
+            some = left[lo : lo + ROWS]
+            may = comp[some][:, None] != comp[right][None, :]
+            if may.any():
+                may &= _may_link(regs[some][:, None, :], regs[right][None, :, :], n[some][:, None], n[right][None, :], percent)[0]
+                hit[some] |= may.any(axis=1)
+                hit[right] |= may.any(axis=0)
+        yield from rows.select(["key", "i", "j", "own", "id", "component"]).filter(pa.array(hit)).to_batches()
+
+    return map_runs(dealt, ["key", "i", "j"], [], compare, _MEMBERS)
+
+
+def _across(dealt: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that join different components, of members (key, i, j, own, id, component, shingles)
+    of blocks that meet, on full sets; of the links found, a spanning forest is returned, so the rows that
+    come out are no more than the members that went in."""
 
     def compare(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(run)).combine_chunks()
         block, ids, comp = (rows.column(c).to_numpy() for c in ("own", "id", "component"))
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
         left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
         u, v = [], []
         if len(left) and len(right):
@@ -254,12 +311,15 @@ def _across(buckets: DataFrame, percent: int) -> DataFrame:
             n = np.array([len(x) for x in sets])
             linked = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :])
             root: dict[int, int] = {}
-            for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-                p, q = _root(root, int(comp[left[a]])), _root(root, int(comp[right[b]]))
-                if p != q:
-                    root[p] = q
-                    u.append(ids[left[a]])
-                    v.append(ids[right[b]])
+            # each row's first link to each component is enough
+            for a, row in enumerate(linked):
+                at = np.flatnonzero(row)
+                for b in at[np.unique(comp[right[at]], return_index=True)[1]].tolist():
+                    p, q = _root(root, int(comp[left[a]])), _root(root, int(comp[right[b]]))
+                    if p != q:
+                        root[p] = q
+                        u.append(ids[left[a]])
+                        v.append(ids[right[b]])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return map_runs(dealt, ["key", "i", "j"], [], compare, "u long, v long")
@@ -278,10 +338,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     100 * |intersection| >= percent * |union| of their sets of distinct word shingles."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "near")
-    rows = scratch.write(sketches(docs, id_col, text_col, words), "rows")
+    rows = scratch.write(sketches(docs, id_col, text_col, words, percent), "rows")
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.write(sets.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")), "classes")
-    # a doc_id with several texts belongs to several classes; its own links tie them
+    classes = scratch.write(sets.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"), F.first("least").alias("least")), "classes")
     bands = _bands(classes)
     # the leader is least in a scrambled order of ids, which can be taken back from the minimum
     scrambled = lambda c: F.col(c).bitwiseXOR(F.lit(SCRAMBLE))
@@ -290,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = scratch.write(_likely(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes, percent), "near")
     best = scratch.write(near.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"), "best")
     links = scratch.write(verified(best, docs, id_col, text_col, words, percent), "links-1")
-    parts = connected_components(links, scratch, "parts-1")
+    parts = connected_components(links.union(_ties(sets, classes)), scratch, "parts-1")
 
     def label(df: DataFrame, col: str, name: str) -> DataFrame:
         own = parts.select(F.col("id").alias(f"_{name}"), F.col("component").alias(f"c_{name}"))
@@ -306,13 +365,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = spans.where("id <> a").join(torn, F.col("key") == F.col("k"), "left_semi").select("key", "id", "component")
     spans = scratch.write(spans, "spans")
     if not spans.isEmpty():
-        sets = _set_rows(docs, spans, id_col, text_col, words)
-        new = scratch.write(_across(spans.join(sets, F.col("id") == F.col("sid")).select("key", "id", "component", "shingles"), percent), "links-3")
-        parts = _joined(new, parts, scratch, 3)
-    scratch.drop("near", "best", "buckets", "rest", "spans", "links-1", "links-2", "links-3")
+        of = classes.select(F.col("id").alias("cid"), "n_shingles", "regs")
+        members = spans.join(of, F.col("id") == F.col("cid")).select("key", "id", "component", "n_shingles", "regs")
+        maybe = scratch.write(_maybe_linked(_blocks(members), percent), "maybe")
+        if not maybe.isEmpty():
+            full = _set_rows(docs, maybe.select("id"), id_col, text_col, words)
+            dealt = maybe.join(full, F.col("id") == F.col("sid")).select("key", "i", "j", "own", "id", "component", "shingles")
+            parts = _joined(scratch.write(_across(dealt, percent), "links-3"), parts, scratch, 3)
+    scratch.drop("near", "best", "buckets", "rest", "spans", "maybe", "links-1", "links-2", "links-3")
     return _result(rows, classes, parts, scratch)
 
 
+def _ties(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): links of each doc_id that has several texts with the classes of these."""
+    digest = F.struct("n_shingles", "d1", "d2")
+    several = sets.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("u"))
+    own = sets.join(several, F.col("doc_id") == F.col("u"), "left_semi").select("doc_id", "n_shingles", "d1", "d2").distinct()
+    return own.join(classes.select("n_shingles", "d1", "d2", "id"), ["n_shingles", "d1", "d2"]).select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
+
+
 def _joined(links: DataFrame, parts: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """Components with further links; the old components already stand for the old links."""
     if links.isEmpty():

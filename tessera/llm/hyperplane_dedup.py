@@ -1,18 +1,22 @@
 """Embedding near-duplicates: random-hyperplane sign hashing in several tables, exact cosines, components.
 
 Equal vectors are one class with a weight, which takes part once. Each table hashes a vector to the
-signs of its products with random hyperplanes; vectors of one bucket are compared in blocks, in double
-precision. A pair counts in the first table whose bucket it shares, so links are counted once without
+signs of its products with random hyperplanes. What travels to the tables is not the vector but a code of
+CODE further signs; in a bucket, codes are compared in blocks, and only for members whose code is near
+another's are the vectors fetched and compared, in double precision. A pair counts in the first table whose bucket it shares, so links are counted once without
 being listed: a block gives each class the weight it is linked with, and a spanning forest of its
 links. Component steps run on those forests only.
 
 At cosine c two vectors agree in a sign with p = 1 - acos(c) / pi. With b signs a table, the number of
 tables is the least for which (1 - p**b) ** tables <= miss. b follows the number of classes, so that
 buckets of unrelated vectors keep a bounded size while the tables grow as n to the power 0.15 at 0.95.
+Codes of such a pair differ in CODE * (1 - p) signs on average, and by more than SPREAD standard deviations
+above that with a chance of 1e-9; those of unrelated vectors differ in about half of them.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component links with
 nothing (n_links 0, its own component, kept); vectors of different lengths are never linked; rows that
-share a vec_id count as separate vectors and one vertex; a null vec_id links with nothing, has a null
+share a vec_id count as separate vectors and one vertex, which ties the components of all of them; equal
+vectors are linked, and a cosine of exactly the threshold links; a null vec_id links with nothing, has a null
 component and is kept; other columns are ignored; no rows give no rows.
 """
 
@@ -37,6 +41,9 @@ MISS = 1e-6
 BUCKET = 1024
 BLOCK = 1024
 LEAST_SIGNS = 4
+#: Signs in a code, and standard deviations by which likely codes may differ more than is usual.
+CODE = 256
+SPREAD = 6.0
 
 
 def agree(cosine: float) -> float:
@@ -53,6 +60,18 @@ def _planes(dim: int, signs: int, tables: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([dim, 11])).standard_normal((dim, tables * signs))
 
 
+def codes(x: np.ndarray) -> np.ndarray:
+    """The signs of products with CODE hyperplanes, vectors x 64-bit words."""
+    planes = np.random.Generator(np.random.PCG64([x.shape[1], 13])).standard_normal((x.shape[1], CODE))
+    return np.packbits(x @ planes >= 0, axis=1).view(np.uint64)
+
+
+def far(cosine: float = COSINE) -> int:
+    """In how many signs the codes of linked vectors differ at most, but for chance."""
+    p = 1 - agree(cosine)
+    return math.ceil(CODE * p + SPREAD * math.sqrt(CODE * p * (1 - p)))
+
+
 def _signatures(x: np.ndarray, planes: np.ndarray, signs: int, tables: int) -> np.ndarray:
     """Bucket numbers, vectors x tables."""
     bits = (x @ planes >= 0).reshape(len(x), tables, signs)
@@ -96,21 +115,22 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, signs: int, tables: int, kind: type) -> DataFrame:
-    """(dim, tab, bucket, id, weight, x): one row for each class and table."""
+    """(dim, tab, bucket, id, code): one row for each class and table."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                dims = b.column(2).to_numpy()
+                dims = b.column(1).to_numpy()
                 for dim in np.unique(dims).tolist():
                     part = b.filter(pa.array(dims == dim))
-                    x = np.frombuffer(b"".join(part.column(3).to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+                    x = np.frombuffer(b"".join(part.column(2).to_pylist()), kind).reshape(-1, dim).astype(np.float64)
                     keys = _signatures(x, _planes(dim, signs, tables), signs, tables)
+                    code = pa.array([c.tobytes() for c in codes(x)], pa.binary())
                     for t in range(tables):
-                        yield pa.RecordBatch.from_arrays([part.column(2), pa.array(np.full(len(x), t, np.int32)), pa.array(keys[:, t]), part.column(0), part.column(1), part.column(3)], names=["dim", "tab", "bucket", "id", "weight", "x"])
+                        yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.full(len(x), t, np.int32)), pa.array(keys[:, t]), part.column(0), code], names=["dim", "tab", "bucket", "id", "code"])
 
-    return classes.select("id", "weight", "dim", "x").mapInArrow(apply, "dim int, tab int, bucket long, id long, weight long, x binary")
+    return classes.select("number", "dim", "x").mapInArrow(apply, "dim int, tab int, bucket long, id long, code binary")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -132,12 +152,43 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(buckets: DataFrame, signs: int, tables: int, cosine: float, kind: type) -> DataFrame:
-    """(id, weight, other): what a class is linked with in a block (other null), and forest links."""
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """Members of buckets with several, dealt so that each two blocks of a bucket meet once: (dim, tab,
+    bucket, i, j, own, id, code), own being i or j."""
     count = buckets.groupBy(F.col("dim").alias("cd"), F.col("tab").alias("ct"), F.col("bucket").alias("cb")).agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("long"))
     own = buckets.join(count, (F.col("dim") == F.col("cd")) & (F.col("tab") == F.col("ct")) & (F.col("bucket") == F.col("cb"))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("dim", "tab", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "weight", "x")
+    return dealt.select("dim", "tab", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "code")
+
+
+_MEMBERS = "dim int, tab int, bucket long, i long, j long, own long, id long"
+_KEYS = ["dim", "tab", "bucket", "i", "j"]
+
+
+def _maybe_linked(dealt: DataFrame, most: int) -> DataFrame:
+    """The dealt members whose code is near another's in the block that theirs meets: as many rows as
+    went in at most."""
+
+    def compare(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(run)).combine_chunks()
+        block = rows.column("own").to_numpy()
+        code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint64).reshape(len(block), -1)
+        left, right = np.flatnonzero(block == key[3]), np.flatnonzero(block == key[4])
+        hit = np.zeros(len(block), bool)
+        for lo in range(0, len(left), 16):
+            some = left[lo : lo + 16]
+            near = np.bitwise_count(code[some][:, None, :] ^ code[right][None, :, :]).sum(axis=2, dtype=np.int64) <= most
+            if key[3] == key[4]:
+                near &= some[:, None] != right[None, :]
+            hit[some] |= near.any(axis=1)
+            hit[right] |= near.any(axis=0)
+        yield from rows.drop_columns(["code"]).filter(pa.array(hit)).to_batches()
+
+    return map_runs(dealt, _KEYS, [], compare, _MEMBERS)
+
+
+def _compare(dealt: DataFrame, signs: int, tables: int, cosine: float, kind: type) -> DataFrame:
+    """(id, weight, other): what a class is linked with in a block (other null), and forest links."""
 
     def compare(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, tab, _, i, j = key
@@ -164,7 +215,15 @@ def _compare(buckets: DataFrame, signs: int, tables: int, cosine: float, kind: t
         total = np.concatenate([with_weight[some].astype(np.int64), np.zeros(len(links), np.int64)])
         yield pa.RecordBatch.from_arrays([pa.array(left_id), pa.array(total), right_id], names=["id", "weight", "other"])
 
-    return map_runs(dealt, ["dim", "tab", "bucket", "i", "j"], [], compare, "id long, weight long, other long")
+    return map_runs(dealt, _KEYS, [], compare, "id long, weight long, other long")
+
+
+def _ties(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): links of each vec_id that has several vectors with the classes of these."""
+    digest = F.struct("dim", "d1", "d2")
+    several = rows.groupBy("vec_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select(F.col("vec_id").alias("u"))
+    own = rows.join(several, F.col("vec_id") == F.col("u"), "left_semi").select("vec_id", "dim", "d1", "d2").distinct()
+    return own.join(classes.select("dim", "d1", "d2", "id"), ["dim", "d1", "d2"]).select(F.col("id").alias("u"), F.col("vec_id").alias("v"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, miss: float = MISS) -> DataFrame:
@@ -173,14 +232,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     scratch = Scratch(df.sparkSession, "vectors")
     rows = scratch.write(vectors(df, id_col, vector_col), "rows")
     usable = rows.where("x IS NOT NULL AND vec_id IS NOT NULL")
-    classes = scratch.write(usable.groupBy("dim", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("x").alias("x")), "classes")
+    grouped = usable.groupBy("dim", "d1", "d2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("x").alias("x"))
+    # classes of their own may share their least vec_id, so they get numbers, which last once they are written
+    classes = scratch.write(grouped.withColumn("number", F.monotonically_increasing_id()), "classes")
     signs, tables = plan(classes.count(), cosine, miss)
     kind = _kind(df, vector_col)
-    found = scratch.write(_compare(_buckets(classes, signs, tables, kind), signs, tables, cosine, kind), "found")
+    maybe = scratch.write(_maybe_linked(_blocks(scratch.write(_buckets(classes, signs, tables, kind), "buckets")), far(cosine)), "maybe")
+    scratch.drop("buckets")
+    full = maybe.join(classes.select(F.col("number").alias("c"), "weight", "x"), F.col("id") == F.col("c"))
+    found = scratch.write(_compare(full.select("dim", "tab", "bucket", "i", "j", "own", "id", "weight", "x"), signs, tables, cosine, kind), "found")
     counts = found.where("other IS NULL").groupBy(F.col("id").alias("c")).agg(F.sum("weight").alias("linked"))
-    parts = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("u"), F.col("other").alias("v")), scratch, "parts")
+    side = lambda c, as_: classes.select(F.col("number").alias(c), F.col("id").alias(as_))
+    links = found.where("other IS NOT NULL").join(side("cu", "u"), F.col("id") == F.col("cu")).join(side("cv", "v"), F.col("other") == F.col("cv")).select("u", "v")
+    parts = connected_components(links.union(_ties(usable, classes)), scratch, "parts")
     own = parts.select(F.col("id").alias("p"), "component")
-    of_class = classes.join(counts, F.col("id") == F.col("c"), "left").join(own, F.col("id") == F.col("p"), "left")
+    of_class = classes.join(counts, F.col("number") == F.col("c"), "left").join(own, F.col("id") == F.col("p"), "left")
     of_class = of_class.select("dim", "d1", "d2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     usable_key = F.when(F.col("vec_id").isNotNull(), F.col("dim")).alias("dim")
     out = rows.select("vec_id", usable_key, "d1", "d2").join(of_class, ["dim", "d1", "d2"], "left")

@@ -61,14 +61,18 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert got == brute(texts)
 
 
-def test_leftover_buckets_find_links(spark):
-    """Blocks on full sets by themselves join what brute force joins."""
+@pytest.mark.parametrize("block", [512, 7])
+def test_leftover_buckets_find_links(spark, monkeypatch, block):
+    """Blocks by themselves, sketches first and then full sets, join what brute force joins."""
+    monkeypatch.setattr(H, "BLOCK", block)
     texts = [(i, t) for i, t in corpus(80, 9) if t and t.split()]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    ids = docs.select(F.col("doc_id").alias("id"))
-    sets = H._set_rows(docs, ids, "doc_id", "text", 5)
-    rows = sets.select(F.lit(1).cast("long").alias("key"), F.col("sid").alias("id"), F.col("sid").alias("component"), "shingles")
-    links = [(r.u, r.v) for r in H._across(rows, 75).collect()]
+    of = H.sketches(docs, "doc_id", "text", 5).select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("id"), F.col("doc_id").alias("component"), "n_shingles", "regs")
+    dealt = H._blocks(of)
+    maybe = H._maybe_linked(dealt, 75)
+    assert maybe.select("id").distinct().count() < len(texts) and maybe.count() <= dealt.count()
+    full = H._set_rows(docs, maybe.select("id"), "doc_id", "text", 5)
+    links = [(r.u, r.v) for r in H._across(maybe.join(full, F.col("id") == F.col("sid")).select("key", "i", "j", "own", "id", "component", "shingles"), 75).collect()]
     root = {i: i for i, _ in texts}
 
     def find(x):
@@ -79,7 +83,37 @@ def test_leftover_buckets_find_links(spark):
     for a, b in links:
         p, q = sorted((find(a), find(b)))
         root[q] = p
-    assert len(links) < len(texts) and {i: find(i) for i, _ in texts} == {i: x[1] for i, x in brute(texts).items()}
+    assert {i: find(i) for i, _ in texts} == {i: x[1] for i, x in brute(texts).items()}
+
+
+def test_rows_that_share_an_id_are_one_vertex(spark):
+    """Their texts tie the classes of all of them together."""
+    rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "p q r s t u v"), (7, "p q r s t u v"), (9, "k l m n o"), (9, None), (2, "k l m n o"), (11, "one two"), (11, "three"), (12, "three")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3): 3, (5, 3): 3, (7, 3): 3, (9, 1): 2, (9, 0): 9, (2, 1): 2, (11, 1): 11, (12, 1): 11}
+
+
+def test_recall_of_bands_and_estimates():
+    """Pairs of random sets at the threshold: bands and the estimate's floor find all but 1 in 20000, and
+    least shingles find all of the smallest."""
+    rng = np.random.default_rng(12)
+    lost = tried = 0
+    for size in (4, 6, 8, 11, 16, 17, 21, 22, 24, 28, 40, 100):
+        common, n = -(-3 * size // 4), 200_000 // size
+        whole = rng.integers(0, 2**63, (n, size), dtype=np.uint64) * np.uint64(2)
+        if common <= H.SMALL:
+            a, b = np.sort(whole, axis=1), np.sort(whole[:, :common], axis=1)
+            p, q = (-(-75 * k // 100) for k in (size, common))
+            assert (a[:, : size - p + 1, None] == b[:, None, : common - q + 1]).any(axis=(1, 2)).all()
+            continue
+        pairs = np.concatenate([whole, whole[:, :common]], axis=1)
+        docs = np.concatenate([np.repeat(2 * np.arange(n), size).reshape(n, -1), np.repeat(2 * np.arange(n) + 1, common).reshape(n, -1)], axis=1)
+        regs = H.sketch(docs.ravel(), pairs.ravel(), 2 * n)
+        a, b = regs[::2], regs[1::2]
+        met = (a == b).reshape(n, -1, H.BAND).all(axis=2).any(axis=1)
+        lost += int((~met | ~H._may_link(a, b, np.full(n, size), np.full(n, common), 75)[0]).sum())
+        tried += n
+    assert tried > 20_000 and lost <= 2
 
 
 def test_near_duplicate_edges(spark):
@@ -148,6 +182,29 @@ def test_odd_vectors(spark):
     assert V.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_recall_of_tables_and_codes():
+    """Of 20000 random pairs just above the threshold, tables and the codes' limit find all."""
+    rng = np.random.default_rng(2)
+    n, dim = 20_000, 64
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((n, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    signs, tables = V.plan(10**6)
+    planes = V._planes(dim, signs, tables)
+    met = (V._signatures(a, planes, signs, tables) == V._signatures(b, planes, signs, tables)).any(axis=1)
+    far = np.bitwise_count(V.codes(a) ^ V.codes(b)).sum(axis=1)
+    assert (~met).sum() <= 1 and (far > V.far()).sum() == 0
+    assert np.bitwise_count(V.codes(a) ^ V.codes(a[::-1])).sum(axis=1).min() > V.far()
+
+
+def test_rows_that_share_a_vec_id_are_one_vertex(spark):
+    rows = [(3, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 1.0]), (8, [-1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(3, 1, 3), (5, 1, 3), (5, 1, 3), (7, 1, 3), (8, 0, 8)]
+
+
 def test_plan_keeps_the_miss_rate():
     for n in (0, 10, 10**5, 10**9):
         signs, tables = V.plan(n)
