@@ -1,21 +1,26 @@
 """Main text of web pages by site style trees.
 
-The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids are one
-element node. Its presentation importance is the entropy of the child sequences that its pages use, and
-the importance of its texts is how little they repeat over pages; both are combined from the leaves up,
-with fewer style nodes leaving more to the children. Branches of low importance on enough pages are
-noise and are removed from each page. Elements whose tag, role, class or id names a menu, header,
-footer, sidebar, notice, advert, form or comment have importance 0 from the start, since their texts may
-vary; the running text of an article has importance 1, since copies of a page repeat it.
+The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids (digits aside)
+are one element node, and the same text in one is one content node. An element's presentation importance is
+the entropy of the child sequences that its pages use, a content node's importance is how little its text
+repeats over the pages that have the element; both are combined from the leaves up, with fewer style nodes
+leaving more to the children. Content nodes of low importance on most of these pages, and branches of low importance
+with nothing else below them, are noise and are removed from each page, inside articles and outside.
+
+Copies of an article are not a layout: pages of a host with one fingerprint (a hash of the longest
+block) are merged once, and where removal would take more than half of a page's text, the page is taken for
+a copy and its running text is spared. Elements whose tag, role, class or id names a menu, header, footer,
+sidebar, notice, advert, form or comment have importance 0 from the start, since their texts may vary.
 
 What is left of a page is its articles, else its main element, else its body, as blocks in page order.
-Counts are added up before they are shuffled; a host's merged tree is bounded by the layouts it uses,
-not by its pages, and only its noise nodes travel to the pages.
+A page's features travel once, to meet copies of it; then counts are added up before they are shuffled.
+A host's merged tree holds the nodes of MIN_PAGES pages or more, and only its noise travels to the pages.
 
 Defined results: null or empty html has no text; a null url, or one without a host, shares a tree with
 others like it; unclosed and misnested elements close as browsers close them, except that formatting is
-not reopened; a tag or comment that the page's end cuts short is dropped; repeated rows are treated one
-by one; a null page_id stays null; other columns are ignored; no rows give no rows.
+not reopened; a tag or comment that the page's end cuts short is dropped; very long pages are parsed whole;
+repeated rows are merged once and extracted one by one; of pages with one fingerprint the one with the least
+digest is merged; a null page_id stays null; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,16 +41,17 @@ from tessera.llm.shared import Scratch, map_runs
 from tessera.llm.textkern import pieces
 
 GAMMA = 0.9
-#: Branches below this importance that occur on so many pages are noise.
+#: Nodes below this importance that occur on so many pages are noise.
 NOISE = 0.25
 MIN_PAGES = 8
-#: Element nodes deeper than this are merged with their ancestor's.
-DEPTH = 24
+#: Of the pages that have an element, the share on which a text of its own is part of the layout.
+SHARED = 0.5
 #: Distinct counts that a task holds before it passes them on.
 HELD = 200_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+DIGITS = re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
 #: Fixed values of HTML.
@@ -65,7 +72,7 @@ NOISE_NAMES = frozenset(
 )
 #: Noise only outside articles: inside, a header holds the title.
 OUTER_TAGS, OUTER_NAMES = frozenset(["header"]), frozenset(["header"])
-#: Running text, which is never noise by its statistics inside an article.
+#: Running text, which copies of a page keep.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
 
 
@@ -81,6 +88,7 @@ class Page:
         self.tag: list[str] = ["#root"]
         self.key: list[int] = [0]
         self.level: list[int] = [0]
+        self.block: list[int] = [0]
         self.noise: list[bool] = [False]
         self.article: list[bool] = [False]
         self.main: list[bool] = [False]
@@ -139,11 +147,12 @@ class Page:
         if name not in ("html", "body", "main"):
             noise = noise or not names.isdisjoint(NOISE_NAMES) or (not inside and (name in OUTER_TAGS or not names.isdisjoint(OUTER_NAMES)))
         level = self.level[parent] + 1
-        style = f"{name}.{look}" if look else name
+        style = f"{name}.{DIGITS.sub('0', look)}" if look else name
         self.parent.append(parent)
         self.tag.append(name)
         self.level.append(level)
-        self.key.append(_hash(self.key[parent], style) if level <= DEPTH else self.key[parent])
+        self.key.append(_hash(self.key[parent], style))
+        self.block.append(self.block[parent] if name in INLINE else len(self.block))
         self.noise.append(noise)
         self.article.append(self.article[parent] or (name == "article" and not noise))
         self.main.append(self.main[parent] or name == "main" or role == "main")
@@ -189,24 +198,42 @@ class Page:
             elif tag in SCOPES and tag not in closed:
                 return
 
+    def contents(self) -> dict[int, str]:
+        """The own text of each element, that of its inline elements included, if there is any."""
+        own: dict[int, list[str]] = defaultdict(list)
+        for piece in self.texts:
+            if piece is not None:
+                own[self.block[piece[0]]].append(piece[1])
+        return {i: text for i, x in own.items() if (text := " ".join("".join(x).split()))}
+
     def marked(self, low: frozenset[int], running: bool = False) -> list[bool]:
-        """Per node, whether it lies in a branch that is removed; running text stays in articles and main,
-        or wherever it is."""
+        """Per node, whether its text is removed; with running, running text stays."""
+        spared = [running and x in RUNNING for x in self.tag]
+        for i in range(len(spared) - 1, 0, -1):  # and so does what holds it
+            if spared[i] and not self.noise[i]:
+                spared[self.parent[i]] = True
         out = list(self.noise)
-        if not low:
-            return out
-        fixed = [not i or self.tag[i] in ("html", "body") or (self.tag[i] in RUNNING and (running or self.article[i] or self.main[i])) for i in range(len(out))]
-        for i in range(len(out) - 1, 0, -1):  # what holds running text stays
-            if fixed[i] and not out[i]:
-                fixed[self.parent[i]] = True
         for i in range(1, len(out)):
-            out[i] = out[i] or out[self.parent[i]] or (self.key[i] in low and not fixed[i])
-        return out
+            out[i] = out[i] or out[self.parent[i]] or (self.key[i] in low and self.tag[i] not in ("html", "body") and not spared[i])
+        texts = {i for i, x in self.contents().items() if not spared[i] and _hash(self.key[i], x) in low}
+        return [x or self.block[i] in texts for i, x in enumerate(out)] if texts else out
 
     def blocks(self, low: frozenset[int] = frozenset()) -> list[str]:
-        """The kept blocks. Branches of low importance go unless that leaves no text, as on copies of one
-        page; then running text is spared, or if there is none, all but noise."""
-        return self._within(self.marked(low)) or (low and (self._within(self.marked(low, True)) or self._within(self.noise))) or []
+        """The kept blocks: without noise unless that takes more than half of the text, as on copies of one
+        page; then without noise that is no running text; and if there is no other text, all."""
+        whole = self._within(self.noise)
+        if not low:
+            return whole
+        room = sum(map(len, whole))
+        for running in (False, True):
+            kept = self._within(self.marked(low, running))
+            if 2 * sum(map(len, kept)) >= room:
+                return kept
+        return kept or whole
+
+    def fingerprint(self) -> int:
+        """A hash of the longest block before the tree is known: alike for most near copies of a page."""
+        return _hash(max(self._within(self.noise), key=len, default=""))
 
     def _within(self, gone: list[bool]) -> list[str]:
         """Of the blocks not gone: those of the articles if they have text, else of main, else of the body."""
@@ -224,25 +251,16 @@ class Page:
                 return found
         return []
 
-    def features(self) -> tuple[dict[int, tuple[int, int]], dict[int, set[int]], dict[int, set[int]]]:
-        """Per element key outside noise: (parent key, level), child sequences, and hashes of own texts."""
-        place, looks, contents = {}, defaultdict(set), defaultdict(set)
-        own: dict[int, list[str]] = defaultdict(list)
-        for piece in self.texts:
-            if piece is not None:
-                node = piece[0]
-                while self.tag[node] in INLINE:
-                    node = self.parent[node]
-                own[node].append(piece[1])
+    def features(self) -> np.ndarray:
+        """Distinct rows (key, parent key, level, hash of the child sequence, content key or 0) of the block
+        elements outside noise. A content key is a hash of the element's key and its text."""
+        own = self.contents()
+        rows = set()
         for i in range(1, len(self.tag)):
-            if self.noise[i] or self.tag[i] in INLINE or self.level[i] > DEPTH or (self.tag[i] in RUNNING and (self.article[i] or self.main[i])):
-                continue
-            key = self.key[i]
-            place[key] = (self.key[self.parent[i]], self.level[i])
-            looks[key].add(_hash(*[x for x in self.children[i] if x.split(".")[0] not in INLINE]))
-            if text := " ".join("".join(own.get(i, ())).split()):
-                contents[key].add(_hash(text))
-        return place, looks, contents
+            if not self.noise[i] and self.tag[i] not in INLINE:
+                look = _hash(*[x for x in self.children[i] if x.split(".")[0] not in INLINE])
+                rows.add((self.key[i], self.key[self.parent[i]], self.level[i], look, _hash(self.key[i], own[i]) if i in own else 0))
+        return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def host_of(url) -> F.Column:
@@ -253,7 +271,24 @@ def host_of(url) -> F.Column:
 _COUNTS = "host string, key long, parent long, level int, kind int, value long, n long"
 
 
-def _counts(pages: DataFrame) -> DataFrame:
+def _features(pages: DataFrame) -> DataFrame:
+    """(host, print, digest, rows): features of each page."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1):
+                prints, digests, rows = [], [], []
+                for html in part.column(1).to_pylist():
+                    page = Page(html or "")
+                    rows.append(page.features().tobytes())
+                    prints.append(page.fingerprint())
+                    digests.append(xxhash.xxh64_intdigest(rows[-1]) - (1 << 63))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64()), pa.array(digests, pa.int64()), pa.array(rows, pa.binary())], names=["host", "print", "digest", "rows"])
+
+    return pages.select("host", "html").mapInArrow(apply, "host string, print long, digest long, rows binary")
+
+
+def _counts(features: DataFrame) -> DataFrame:
     """(host, key, parent, level, kind, value, n): pages that have the node (kind 0), that have it with a
     child sequence (1) and with a text (2)."""
 
@@ -265,30 +300,30 @@ def _counts(pages: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, int] = defaultdict(int)
         for batch in batches:
-            for part in pieces(batch, 1):
-                for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    place, looks, contents = Page(html or "").features()
-                    for key, (parent, level) in place.items():
-                        held[host, key, parent, level, 0, 0] += 1
-                        for x in looks[key]:
-                            held[host, key, parent, level, 1, x] += 1
-                        for x in contents[key]:
-                            held[host, key, parent, level, 2, x] += 1
+            for host, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = set()
+                for key, parent, level, look, text in np.frombuffer(raw, np.int64).reshape(-1, 5).tolist():
+                    seen |= {(host, key, parent, level, 0, 0), (host, key, parent, level, 1, look)}
+                    if text:
+                        seen.add((host, key, parent, level, 2, text))
+                for x in seen:
+                    held[x] += 1
                 if len(held) >= HELD:
                     yield out(held)
                     held.clear()
         yield out(held)
 
-    return pages.select("host", "html").mapInArrow(apply, _COUNTS)
+    return features.select("host", "rows").mapInArrow(apply, _COUNTS)
 
 
-def importances(nodes: list[tuple[int, int, int, int, float, int, float, int]], noise: float = NOISE, least: int = MIN_PAGES) -> dict[int, float]:
+def importances(nodes: list[tuple[int, int, int, int, float, int, float, int]]) -> dict[int, float]:
     """Composite importance of each element key, from rows (key, parent, level, pages, presentation
-    entropy in nats, child sequences, sum of ln(pages of a text) over texts, texts)."""
+    entropy in nats, child sequences, sum of ln(pages of a text) over texts, texts). A row without sequences
+    stands for a node that is important by itself."""
     below: dict[int, list[tuple[float, float]]] = defaultdict(list)
     found: dict[int, float] = {}
     for key, parent, _, m, entropy, sequences, spread, texts in sorted(nodes, key=lambda x: -x[2]):
-        if m <= 1:
+        if m <= 1 or not sequences:
             value = 1.0
         else:
             parts = list(below.get(key, ()))
@@ -305,50 +340,56 @@ def importances(nodes: list[tuple[int, int, int, int, float, int, float, int]],
     return found
 
 
+def low_keys(rows: list[dict]) -> list[int]:
+    """The keys of the branches of low importance that hold no node of another kind."""
+    nodes, fillers = [], 0
+    for r in rows:
+        fillers += r["sequences"] == 0
+        nodes.append((r["key"] if r["sequences"] else -fillers, r["parent"], r["level"], r["m"], r["entropy"], r["sequences"], r["spread"], r["texts"]))
+    found = importances(nodes)
+    high: set[int] = set()
+    for key, parent, *_ in sorted(nodes, key=lambda x: -x[2]):
+        if key in high or found[key] >= NOISE:
+            high |= {key, parent}
+    return sorted(x[0] for x in nodes if x[0] not in high)
+
+
 def noise_nodes(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, low): the keys of each host's branches of low importance."""
-    counts = _counts(pages).groupBy("host", "key", "parent", "level", "kind", "value").agg(F.sum("n").alias("n"))
+    """(tree_host, low): the keys of each host's branches and content nodes of low importance."""
+    once = _features(pages).groupBy("host", "print").agg(F.min_by("rows", "digest").alias("rows"))
+    counts = scratch.write(_counts(once).groupBy("host", "key", "parent", "level", "kind", "value").agg(F.sum("n").alias("n")), "counts")
     ln = F.log("n")
-    whole = F.max(F.when(F.col("kind") == 0, F.col("n")))
     looks, texts = (F.col("kind") == k for k in (1, 2))
     nodes = counts.groupBy("host", "key", "parent", "level").agg(
-        whole.alias("m"),
+        F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("m"),
         F.sum(F.when(looks, F.col("n"))).alias("used"),
         F.sum(F.when(looks, F.col("n") * ln)).alias("nln"),
         F.sum(looks.cast("long")).alias("sequences"),
         F.sum(F.when(texts, ln).otherwise(0.0)).alias("spread"),
         F.sum(texts.cast("long")).alias("texts"),
     )
-    # nodes on one page are sure to be kept; their parents only need to know how many there are
-    single = nodes.where("m = 1").groupBy("host", "parent", "level").agg(F.count("*").alias("m"))
-    single = single.select("host", F.lit(0).cast("long").alias("key"), "parent", "level", "m", F.lit(0.0).alias("entropy"), F.lit(-1).cast("long").alias("sequences"), F.lit(0.0).alias("spread"), F.lit(0).cast("long").alias("texts"))
-    several = nodes.where("m > 1").select("host", "key", "parent", "level", "m", (F.log("used") - F.col("nln") / F.col("used")).alias("entropy"), "sequences", "spread", "texts")
-    tree = several.union(single).select(F.xxhash64("host").alias("h"), "*")
+    nodes = scratch.write(nodes, "nodes")
+    # nodes on few pages are sure to be kept; their parents only need to know how often there are any
+    few = nodes.where(F.col("m") < MIN_PAGES).groupBy("host", "parent", "level").agg(F.sum("m").alias("m"))
+    zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
+    few = few.select("host", zero("key", "long"), "parent", "level", "m", zero("entropy", "double"), zero("sequences", "long"), zero("spread", "double"), zero("texts", "long"))
+    several = nodes.where(F.col("m") >= MIN_PAGES).select("host", "key", "parent", "level", "m", (F.log("used") - F.col("nln") / F.col("used")).alias("entropy"), "sequences", "spread", "texts")
+    tree = several.union(few).select(F.xxhash64("host").alias("h"), "*")
 
     def judge(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_host: dict[str, list[dict]] = defaultdict(list)
         for b in run:
             for r in b.to_pylist():
                 by_host[r["host"]].append(r)
-        names, lows = [], []
-        for host, rows in by_host.items():
-            low = low_keys(rows)
-            if low:
-                names.append(host)
-                lows.append(low)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lows, pa.list_(pa.int64()))], names=["tree_host", "low"])
-
-    return scratch.write(map_runs(tree, ["h"], [], judge, "tree_host string, low array<long>"), "noise")
-
-
-def low_keys(rows: list[dict]) -> list[int]:
-    nodes, fillers = [], 0
-    for r in rows:
-        single = r["sequences"] < 0
-        fillers += single
-        nodes.append((-fillers if single else r["key"], r["parent"], r["level"], r["m"] if not single else 1, r["entropy"], max(r["sequences"], 0), r["spread"], r["texts"]))
-    found = importances(nodes)
-    return sorted(r["key"] for r in rows if r["sequences"] >= 0 and r["m"] >= MIN_PAGES and found[r["key"]] < NOISE)
+        found = {host: low_keys(rows) for host, rows in by_host.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["tree_host", "low"])
+
+    branches = map_runs(tree, ["h"], [], judge, "tree_host string, low array<long>")
+    repeated = counts.where((F.col("kind") == 2) & (F.col("n") >= MIN_PAGES)).select(F.col("host").alias("ch"), F.col("key").alias("ck"), "value", "n")
+    own = repeated.join(nodes.where(F.col("m") >= MIN_PAGES).select("host", "key", "m"), (F.col("host") == F.col("ch")) & (F.col("key") == F.col("ck")))
+    contents = own.where((F.lit(1) - F.log("n") / F.log("m") < NOISE) & (F.col("n") >= SHARED * F.col("m"))).groupBy("host").agg(F.collect_list("value").alias("low")).select(F.col("host").alias("tree_host"), "low")
+    both = branches.union(contents).groupBy("tree_host").agg(F.flatten(F.collect_list("low")).alias("low")).where(F.size("low") > 0)
+    return scratch.write(both, "noise")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -87,12 +87,111 @@ def test_style_tree_finds_noise(spark):
     rows += [(200, "http://other/", "<body><div class=top>Welcome to the site</div></body>"), (201, None, None)]
     pages = spark.createDataFrame([(*r, "n") for r in rows], "page_id long, url string, html string, host string")
     got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
-    assert all("Welcome" not in got[i] and "rights" not in got[i] for i in range(120))
-    assert all(got[i] == want[i] for i in range(120) if i % 2 or i >= 100)
+    assert all("Welcome" not in got[i] for i in range(120))
+    # a page whose own text is the smaller part is taken for a copy, and its running text stays
+    assert all(got[i] == want[i] if i % 2 or i >= 100 else got[i] == "Same article\nAll rights kept" for i in range(120))
     assert got[200] == "Welcome to the site" and got[201] == ""
     assert style_tree.extract(pages.limit(0)).count() == 0
 
 
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def site(kind, n=40, seed=2):
+    """(html, wanted text) of n pages of a site."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        body = [words(rnd, rnd.randint(12, 40)) for _ in range(rnd.randint(2, 5))]
+        ps = "".join(f"<p>{x}</p>" for x in body)
+        if kind == "plain":  # no article, and names that say nothing
+            html = f"<body><div class=x1><a href=/>Home</a> <a href=/n>News</a></div><div class=x2 id=p{i}>{ps}</div><div class=x3><p>All rights kept by us</p><ul><li>Terms<li>Privacy</ul></div></body>"
+        elif kind == "inside":  # boilerplate of unlisted names, and none, inside the article
+            html = f"<body><article><div class=x7>Read this in our app</div><h1>{body[0]}</h1>{ps}<p>Thank you for reading our pages</p><div class=x8><p>More from {rnd.choice('AB')}</p></div></article></body>"
+            body = [body[0], *body]
+        else:  # copies of one article, each with a block of its own
+            same = random.Random(99)
+            body = [words(same, 30) for _ in range(4)] + [words(rnd, 5)]
+            html = "<body><div class=x1>Home</div><article>" + "".join(f"<p>{x}</p>" for x in body) + "</article></body>"
+        out.append((html, "\n".join(body)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "inside", "copies"])
+def test_the_tree_decides(spark, kind):
+    """Without the tree the text is another one, unless the pages are copies; with it it is right."""
+    pages = site(kind)
+    df = spark.createDataFrame([(i, f"https://{kind}.org/{i}", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(df).collect()}
+    for i, (html, want) in enumerate(pages):
+        assert got[i] == want
+        assert ("\n".join(blocks(html)) == want) == (kind == "copies")
+
+
+def brute_noise(pages):
+    """Keys of noise by a plain merge of pages (html), one host."""
+    seen = {}
+    for html in pages:
+        p = style_tree.Page(html)
+        raw = p.features().tobytes()
+        digest = style_tree.xxhash.xxh64_intdigest(raw) - (1 << 63)
+        seen[p.fingerprint()] = min(seen.get(p.fingerprint(), (digest, raw)), (digest, raw))
+    rows = [set(map(tuple, style_tree.np.frombuffer(raw, "int64").reshape(-1, 5).tolist())) for _, raw in seen.values()]
+    keys = {r[0]: (r[1], r[2]) for page in rows for r in page}
+    on = {k: [{r for r in page if r[0] == k} for page in rows] for k in keys}
+    on = {k: [x for x in v if x] for k, v in on.items()}
+    low, value = set(), {}
+
+    def count(k, at):
+        out = {}
+        for x in on[k]:
+            for v in {r[at] for r in x} - {0}:
+                out[v] = out.get(v, 0) + 1
+        return out
+
+    def judge(k):
+        """(importance, whether all below is low)"""
+        m = len(on[k])
+        below = [(len(on[c]), *judge(c)) for c in keys if keys[c][0] == k]
+        if m < style_tree.MIN_PAGES:
+            return 1.0, False
+        looks, texts = count(k, 3), count(k, 4)
+        n = sum(looks.values())
+        look = -sum(x / n * math.log(x / n) for x in looks.values()) / math.log(m)
+        parts = [(w, x) for w, x, _ in below] + ([(m, sum(1 - math.log(x) / math.log(m) for x in texts.values()) / len(texts))] if texts else [])
+        inner = sum(w * x for w, x in parts) / sum(w for w, _ in parts) if parts else look
+        share = style_tree.GAMMA ** len(looks)
+        x = (1 - share) * look + share * inner if below else inner
+        value[k] = x
+        for text, hits in texts.items():
+            if hits >= max(style_tree.MIN_PAGES, m / 2) and 1 - math.log(hits) / math.log(m) < style_tree.NOISE:
+                low.add(text)
+        quiet = x < style_tree.NOISE and all(q for *_, q in below)
+        if quiet:
+            low.add(k)
+        return x, quiet
+
+    for k in keys:
+        if keys[k][0] == 0:
+            judge(k)
+    return low
+
+
+def test_tree_matches_a_plain_merge(spark):
+    hosts = {kind: [h for h, _ in site(kind)] for kind in ("plain", "inside", "copies")}
+    hosts["mixed"] = [h for k in hosts for h in hosts[k][:25]] + ["", "<p>x</p>", "<nav>n</nav>"] + hosts["plain"][:3]
+    hosts["deep"] = ["<div>" * 60 + f"<p>{words(random.Random(i), 9)}</p>" + "</div>" * 30 + "<p>always the same</p>" for i in range(20)]
+    rows = [(i, f"https://{host}/", h) for host, pages in hosts.items() for i, h in enumerate(pages)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    given = pages.select("page_id", "url", "html", style_tree.host_of(F.col("url")).alias("host"))
+    got = {r.tree_host: r.low for r in style_tree.noise_nodes(given, Scratch(spark, "t")).collect()}
+    for host, some in hosts.items():
+        want = brute_noise(some)
+        assert len(got.get(host, [])) == len(set(got.get(host, []))) and set(got.get(host, [])) == want, host
+    assert got["deep"] and got["plain"] and got["inside"]
+
+
 def test_importance():
     # a node on all pages with one text and one layout; one with as many texts as pages
     rows = [(1, 0, 1, 100, 0.0, 1, math.log(100), 1), (2, 0, 1, 100, 0.0, 1, 0.0, 100), (3, 0, 1, 1, 0.0, 1, 0.0, 1)]
@@ -150,12 +249,15 @@ def test_mixing(spark, monkeypatch, how):
 
 
 def test_copies_of_one_page_keep_their_text(spark):
-    """Without article or main, texts that repeat on all pages of a host are kept if nothing else is left."""
+    """Without article or main, and without other pages, copies say nothing of what repeats; with other
+    pages beside them their menus go and their text stays."""
     menu = "<div class=x><div><a href=/a>Home</a></div></div>"
     plain, bare = f"<body>{menu}<div><h2>Title</h2><p>One text.</p><p>Two texts.</p></div></body>", "<body><div>Only this.</div></body>"
-    rows = [(i, "http://p.org/", plain) for i in range(12)] + [(100 + i, "http://b.org/", bare) for i in range(12)]
+    rows = [(i, "http://p.org/", plain) for i in range(12)] + [(100 + i, "http://b.org/", bare) for i in range(12)] + [(200 + i, "http://m.org/", plain) for i in range(12)]
+    rows += [(300 + i, "http://m.org/", f"<body>{menu}<div><p>Other text {i} and more of it {i * i}.</p></div></body>") for i in range(30)]
     got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {got[i] for i in range(12)} == {"Title\nOne text.\nTwo texts."} and {got[100 + i] for i in range(12)} == {"Only this."}
+    assert {got[i] for i in range(12)} == {"Home\nTitle\nOne text.\nTwo texts."} and {got[100 + i] for i in range(12)} == {"Only this."}
+    assert {got[200 + i] for i in range(12)} == {"Title\nOne text.\nTwo texts."} and got[303] == "Other text 3 and more of it 9."
 
 
 def test_mixing_edges(spark):
