@@ -28,12 +28,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Scratch, added_up, map_runs
+from tessera.llm.shared import Scratch, added_up, expand, map_runs, pack, squeeze, unpack
 from tessera.llm.textkern import Texts, Words, pieces
 
 #: Words that are exchanged one by one, classes, and rounds of exchange at most.
@@ -57,25 +56,6 @@ REST_CLASS, END_CLASS, OPEN = CLASSES - 2, CLASSES - 1, CLASSES - 2
 UNSEEN = CLASSES
 
 
-def _squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _expand(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Bytes of equal rank lie together, which is what makes small numbers compress."""
-    return _squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
-
-
-def _unpack(raw: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(_expand(raw), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel()
-
-
 def word_hashes(words: Words) -> np.ndarray:
     """64-bit hashes of lower-cased words."""
     out = words.hashes(lower=True)
@@ -136,7 +116,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), pa.array([kind], pa.int32()), pa.array([seq], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["gid", "kind", "seq", "a", "b", "c"])
 
         def words() -> pa.RecordBatch:
-            return row(0, _pack(np.concatenate(group.hashes)), _pack(group.counts), b"")
+            return row(0, pack(np.concatenate(group.hashes)), pack(group.counts), b"")
 
         for batch in batches:
             for part in pieces(batch, 2):
@@ -148,7 +128,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
                 flags = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8) | held.astype(np.uint8) << 1
                 who = np.zeros(part.num_rows, _WHO)
                 who["id"], who["flags"] = ids.fill_null(0).to_numpy(), flags
-                yield row(2, _squeeze(who.tobytes()), _pack(count.astype(np.int64)), _pack(local.astype(np.uint32)))
+                yield row(2, squeeze(who.tobytes()), pack(count.astype(np.int64)), pack(local.astype(np.uint32)))
                 seq += 1
                 group.size += len(texts.data)
                 if group.size >= GROUP:
@@ -174,13 +154,13 @@ def _requests(tokens: DataFrame, bits: int) -> DataFrame:
         edges = _edges(bits)
         for b in batches:
             for gid, a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                h, n = _unpack(a, np.uint64), _unpack(c, np.int64)
+                h, n = unpack(a, np.uint64), unpack(c, np.int64)
                 order = np.argsort(h)
                 h, n = h[order], n[order]
                 cut = [0, *np.searchsorted(h, edges).tolist(), len(h)]
                 for s, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     if hi > lo:
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([gid], pa.int64()), pa.array([_pack(h[lo:hi])], pa.binary()), pa.array([_pack(n[lo:hi])], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "gid", "a", "b", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([gid], pa.int64()), pa.array([pack(h[lo:hi])], pa.binary()), pa.array([pack(n[lo:hi])], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "gid", "a", "b", "c"])
 
     return tokens.where("kind = 0").select("gid", "a", "b").mapInArrow(apply, _REQUESTS)
 
@@ -191,11 +171,11 @@ def _gathered(run: Iterator[pa.RecordBatch]) -> tuple[list, list, list, list]:
     for b in run:
         for gid, x, y, z in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
             if gid < 0:
-                contexts.append((_unpack(x, np.uint64), _unpack(y, np.int64), _unpack(z, np.int64)))
+                contexts.append((unpack(x, np.uint64), unpack(y, np.int64), unpack(z, np.int64)))
             else:
                 gids.append(gid)
-                lists.append(_unpack(x, np.uint64))
-                counts.append(_unpack(y, np.int64))
+                lists.append(unpack(x, np.uint64))
+                counts.append(unpack(y, np.int64))
     return gids, lists, counts, contexts
 
 
@@ -227,8 +207,8 @@ def _heads(requests: DataFrame, common: int) -> DataFrame:
 def _matrix(parts: DataFrame, size: int) -> np.ndarray:
     """The matrix (size x size) of the sums of packed rows (unit, n)."""
     out = np.zeros((size, size), np.int64)
-    for r in added_up(parts, "unit", "n", lambda x: _unpack(x, np.int64), _pack).collect():
-        out[r["unit"]] = _unpack(r["n"], np.int64)
+    for r in added_up(parts, "unit", "n", lambda x: unpack(x, np.int64), pack).collect():
+        out[r["unit"]] = unpack(r["n"], np.int64)
     return out
 
 
@@ -249,7 +229,7 @@ def _bigrams(docs: DataFrame, common: np.ndarray) -> np.ndarray:
                 total[pairs] += n
         matrix = total.reshape(size, size)
         for i in np.flatnonzero(matrix.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_pack(matrix[i])], pa.binary())], names=["unit", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pack(matrix[i])], pa.binary())], names=["unit", "n"])
 
     return _matrix(docs.select("held_out", "text").mapInArrow(count, "unit long, n binary"), size)
 
@@ -383,7 +363,7 @@ def _contexts(docs: DataFrame, model, bits: int) -> DataFrame:
             for shard, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if hi > lo:
                     parts = words[lo:hi], each[lo:hi].astype(np.int64), packed[first[lo] : first[hi]]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([-1], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in parts)], names=["shard", "gid", "a", "b", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([-1], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in parts)], names=["shard", "gid", "a", "b", "c"])
 
         for batch in batches:
             batch = batch.filter(pa.compute.invert(batch.column(0)))
@@ -456,13 +436,13 @@ def _replies(asked: DataFrame, model) -> DataFrame:
         stats = np.concatenate([np.bincount(k[plain], total[plain], CLASSES), np.bincount(k[plain], minlength=CLASSES)]).astype(np.int64)
 
         def row(kind: int, gid: int, a: np.ndarray, b: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), pa.array([kind], pa.int32()), pa.array([key[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in (_pack(a), b, b""))], names=["gid", "kind", "seq", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array([gid], pa.int64()), pa.array([kind], pa.int32()), pa.array([key[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack(a), b, b""))], names=["gid", "kind", "seq", "a", "b", "c"])
 
         yield row(3, -1, stats, b"")
         at = 0
         for gid, one in zip(gids, lists, strict=True):
             mine = inverse[at : at + len(one)]
-            yield row(1, gid, total[mine], _squeeze(k[mine].astype(np.uint8).tobytes()))
+            yield row(1, gid, total[mine], squeeze(k[mine].astype(np.uint8).tobytes()))
             at += len(one)
 
     return map_runs(asked, ["shard"], ["gid"], add, _TOKENS)
@@ -486,9 +466,9 @@ def _classed(rows: DataFrame, groups: int) -> DataFrame:
         for b in run:
             for kind, x, y, z in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 if kind == 0:
-                    hashes = _unpack(x, np.uint64)
+                    hashes = unpack(x, np.uint64)
                 elif kind == 1:
-                    replies.append((_unpack(x, np.int64), np.frombuffer(_expand(y), np.uint8)))
+                    replies.append((unpack(x, np.int64), np.frombuffer(expand(y), np.uint8)))
                 else:
                     if known is None:
                         order = np.argsort(hashes)
@@ -496,19 +476,19 @@ def _classed(rows: DataFrame, groups: int) -> DataFrame:
                         c[order], k[order] = (np.concatenate([r[i] for r in replies]) for i in (0, 1))
                         known = c, k, np.log10(c + 1), np.where(hashes == END, 0.0, np.log10(c + SMOOTH))
                     c, k, base, emission = known
-                    count, at = _unpack(y, np.int64), _unpack(z, np.uint32)
+                    count, at = unpack(y, np.int64), unpack(z, np.uint32)
                     first = np.concatenate([[0], np.cumsum(count)[:-1]])
                     now = k[at]
                     before = np.concatenate([[END_CLASS], now[:-1]])  # a text follows an end
-                    held = (np.frombuffer(_expand(x), _WHO)["flags"] & 2) > 0
+                    held = (np.frombuffer(expand(x), _WHO)["flags"] & 2) > 0
                     train = np.repeat(~held, count)
                     table += np.bincount(before[train] * CLASSES + now[train], minlength=len(table))
                     sums = np.zeros(len(count), _SUMS)
                     sums["known"], sums["base"], sums["emission"] = (np.add.reduceat(v, first) for v in ((c[at] > 0).astype(np.int64), base[at], emission[at]))
-                    yield row(-1, x, y, _squeeze(now.astype(np.uint8).tobytes()), _squeeze(sums.tobytes()))
+                    yield row(-1, x, y, squeeze(now.astype(np.uint8).tobytes()), squeeze(sums.tobytes()))
         matrix = table.reshape(CLASSES, CLASSES)
         for i in np.flatnonzero(matrix.any(axis=1)).tolist():
-            yield row(i, _pack(matrix[i]), b"", b"", b"")
+            yield row(i, pack(matrix[i]), b"", b"", b"")
 
     return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED, partitions=4 * groups)
 
@@ -531,8 +511,8 @@ def settle(now: np.ndarray, unseen: np.ndarray) -> np.ndarray:
 def _settled(units_model: Model, replies: DataFrame, classed: DataFrame) -> Model:
     """The model under the words' final classes."""
     parts = replies.where("kind = 3").select(F.lit(0).cast("long").alias("unit"), F.col("a").alias("n"))
-    rows = added_up(parts, "unit", "n", lambda x: _unpack(x, np.int64), _pack).collect()
-    tokens, words = (_unpack(rows[0]["n"], np.int64) if rows else np.zeros(2 * CLASSES, np.int64)).reshape(2, -1)
+    rows = added_up(parts, "unit", "n", lambda x: unpack(x, np.int64), pack).collect()
+    tokens, words = (unpack(rows[0]["n"], np.int64) if rows else np.zeros(2 * CLASSES, np.int64)).reshape(2, -1)
     table = _matrix(classed.where("unit >= 0").select("unit", F.col("a").alias("n")), CLASSES)
     room, transition = tokens + SMOOTH * (words + 1), _transition(table)
     # of the open classes that have words, if any has
@@ -550,8 +530,8 @@ def _scores(classed: DataFrame, model) -> DataFrame:
         room = np.append(np.log10(m.room[:-1]), 0.0)
         for b in batches:
             for w, x, y, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                who, count, sums = np.frombuffer(_expand(w), _WHO), _unpack(x, np.int64), np.frombuffer(_expand(z), _SUMS)
-                now = np.frombuffer(_expand(y), np.uint8).astype(np.int64)
+                who, count, sums = np.frombuffer(expand(w), _WHO), unpack(x, np.int64), np.frombuffer(expand(z), _SUMS)
+                now = np.frombuffer(expand(y), np.uint8).astype(np.int64)
                 before = settle(now, m.unseen)
                 first = np.concatenate([[0], np.cumsum(count)[:-1]])
                 score = np.add.reduceat(m.transition[before, now] - room[now], first) + sums["emission"]

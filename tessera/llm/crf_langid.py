@@ -7,13 +7,16 @@ mean posterior over its words.
 
 Training maximises the penalised likelihood by adaptive gradient steps on spliced texts: the training
 documents follow one another with their languages as labels, which gives the transitions the switches
-that mixed text has. It works on a bounded sample, SAMPLE documents of each language by a hash of
-their ids. Forward-backward runs on all texts of a piece at once: chunks of CHUNK words are reduced to
+that mixed text has. It works on a bounded sample: for the LANGUAGES languages with the most documents, SAMPLE
+documents of each by a hash of their ids, PIECES pieces of each document, SAMPLE_WORDS words of each
+language and fewer if there are many languages. So the driver's arrays are bounded too. Forward-backward runs on all texts of a piece at once: chunks of CHUNK words are reduced to
 transfer matrices, messages pass from chunk to chunk, and then run inside all chunks together.
 
 Defined results: a null text or one without a letter is `und` with score 0; without training rows every
 text is `und` with score 0; with one language every text with a letter has it, with score 1; a null
-lang teaches nothing; ties go to the language first in order; rows are labelled one by one, repeated
+lang teaches nothing, nor does a word longer than a piece; very long texts are labelled whole, and are sampled
+all over; equal rows teach each time, ties of their hashes are settled by the text; ties go to the language
+first in order; rows are labelled one by one, repeated
 or not; other columns are ignored; no rows give no rows.
 """
 
@@ -24,14 +27,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import prepare
 from tessera.llm.textkern import BASE, LOWER, STEP, Texts, Words, mix, pieces
 
 SLOTS = 1 << 16
+#: The training sample: languages, the most frequent ones; documents of each; pieces of so many words of a
+#: document, spread over it; bytes of a piece; words of a language; words times languages squared.
+LANGUAGES = 128
 SAMPLE = 200
+PIECES, PIECE_WORDS, PIECE_BYTES = 16, 128, 1 << 14
+SAMPLE_WORDS = 1 << 16
+CELLS = 1 << 22
 CHUNK = 64
 EPOCHS = 12
 RATE = 0.5
@@ -218,19 +227,54 @@ def train(texts: list[bytes], langs: list[str]) -> Model | None:
     return model
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of up to SAMPLE usable documents with a text for each language."""
-    from pyspark.sql import Window
-
-    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("cid"), F.col(lang_col).alias("clang"), F.xxhash64(id_col).alias("h"))
+def sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """(language, piece of text) of the training sample. Pieces are drawn by hashes from all over a document,
+    so its bounds hold whatever the number of languages and the length of texts."""
+    own = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    count = own.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    langs = [r["lang"] for r in count]
+    if not langs:
+        return []
+    ids = own.where(F.col(id_col).isNotNull() & F.col(lang_col).isin(langs)).select(F.col(id_col).alias("cid"), F.col(lang_col).alias("clang"), F.xxhash64(id_col).alias("h"))
     # the least hashes of each language: first of each split, then of all, so no language meets in one task
     ranked = ids.withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(64)))
     some = ranked.withColumn("r", F.row_number().over(Window.partitionBy("clang", "part").orderBy("h", "cid"))).where(F.col("r") <= SAMPLE)
     best = some.withColumn("r", F.row_number().over(Window.partitionBy("clang").orderBy("h", "cid"))).where(F.col("r") <= SAMPLE).select("cid", "clang")
-    texts = docs.where(usable & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(best), (F.col("id") == F.col("cid")) & (F.col("lang") == F.col("clang"))).select("id", "lang", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["lang"], r["text"]))
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows])
+    texts = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # LANGUAGES * SAMPLE ids at most
+    texts = texts.join(F.broadcast(best), (F.col("id") == F.col("cid")) & (F.col("lang") == F.col("clang"))).select("lang", F.xxhash64("id").alias("h"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 2):
+                t = Texts(part.column(2))
+                words = Words(t)
+                out: list[tuple] = []
+                for i, (lang, h) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                    first = np.arange(words.off[i], words.off[i + 1], PIECE_WORDS)
+                    place = mix(np.arange(len(first), dtype=np.uint64) * STEP + np.uint64(h % (1 << 64)))
+                    for k in np.argsort(place, kind="stable")[:PIECES].tolist():
+                        a = first[k]
+                        b = a + int(np.searchsorted(words.end[a : min(a + PIECE_WORDS, words.off[i + 1])], words.start[a] + PIECE_BYTES, "right"))
+                        if b > a:
+                            out.append((lang, int(place[k].view(np.int64)), int(b - a), t.data[words.start[a] : words.end[b - 1]].tobytes().decode()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out, strict=True)) or [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["lang", "place", "n", "piece"])
+
+    parts = texts.mapInArrow(cut, "lang string, place long, n long, piece string")
+    most = min(SAMPLE_WORDS, CELLS // len(langs) ** 2)
+    order = Window.partitionBy("lang").orderBy("place", "piece")
+    # rows that share an id bring pieces of their own, so their number is bounded before their words are
+    few = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE * PIECES)
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = few.withColumn("upto", upto).where((F.col("upto") <= most) | (F.col("r") == 1)).orderBy("lang", "r").collect()
+    return [(r["lang"], r["piece"]) for r in rows]
+
+
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model of the training sample of the usable documents."""
+    prepare(docs.sparkSession)
+    rows = sample(docs, usable, id_col, text_col, lang_col)
+    return train([x.encode() for _, x in rows], [lang for lang, _ in rows])
 
 
 def label(texts: Texts, model: Model | None) -> tuple[list[str], np.ndarray]:

@@ -3,13 +3,14 @@
 Base rules count words, symbols, repeated lines and words in repeated 8-word windows. The method's
 verdict compares a document's histograms of character classes and of common words with those of each
 language in the corpus, by Jensen-Shannon distance. The references are sums over all documents that
-pass the base rules. Words are counted in a fixed number of hash bins, so the counts have the same
-bounded size whatever the vocabulary; a language's common words are its largest bins. A document is
-judged by the language it is nearest to, and only by a histogram it has enough words or characters
+pass the base rules; all words of these are counted, in shards, and the driver gets only the totals and the
+commonest words of each language. There are references for the LANGUAGES languages with the most
+documents, which bounds what the driver holds. A document is judged by the language it is nearest to, and only by a histogram it has enough words or characters
 for; a sampling allowance that shrinks with length is taken off the divergence, the distance's square.
 
-Defined results: null, empty and blank texts have no words, fail the base rules and are not kept; a
-null lang counts for no reference; without any reference the base rules decide alone; repeated rows are
+Defined results: null, empty and blank texts have no words, fail the base rules and are not kept; very long
+texts are judged whole; a null lang counts for no reference; ties among common words are settled by their
+hash, among languages by their name, among nearest references by the first; without any reference the base rules decide alone; repeated rows are
 treated one by one; a null doc_id stays null; other columns are ignored; no rows give no rows.
 """
 
@@ -20,17 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import prepare
+from tessera.llm.shared import Scratch, map_runs, pack, prepare, unpack
 from tessera.llm.textkern import SPACE, Texts, Words, mix, pieces, span_hashes, windows
 
 WINDOW = 8
 MIN_WORDS = 20
 REPEATED_PERCENT = 30
-BINS = 4096
+#: Common words of a language, and languages that have a reference.
 COMMON = 64
+LANGUAGES = 256
+#: Bits of the hash that deal words to shards, and words that a task holds before it passes them on.
+SHARD_BITS = 8
+HELD = 1 << 20
 #: Words and characters a document needs before its histograms are compared.
 GUARD_WORDS = 50
 GUARD_CHARS = 200
@@ -106,58 +111,121 @@ def base_counts(texts: Texts, words: Words) -> Base:
     return Base(words.count.astype(np.int64), chars, _per_text(symbol, off), dup.astype(np.int64), repeat)
 
 
-def histograms(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of character classes (text x class), and the bin and text of every word."""
+def class_counts(texts: Texts) -> np.ndarray:
+    """Counts of character classes, text x class."""
     k = len(CLASSES) + 1
     doc = np.repeat(np.arange(texts.n), np.diff(texts.off))
-    classes = np.bincount(doc * k + CLASS_OF[texts.data], minlength=texts.n * k).reshape(texts.n, k)[:, :-1]
-    return classes, (words.hashes(lower=True) % np.uint64(BINS)).astype(np.int64), words.doc()
+    return np.bincount(doc * k + CLASS_OF[texts.data], minlength=texts.n * k).reshape(texts.n, k)[:, :-1]
 
 
 @dataclass
 class Reference:
-    """Per language: shares of character classes, its common bins, and shares of these and the rest."""
+    """Per language: shares of character classes, sorted hashes of its common words, and shares of these and
+    the rest."""
 
+    langs: list[str]
     classes: np.ndarray
-    bins: np.ndarray
-    words: np.ndarray
+    common: list[np.ndarray]
+    words: list[np.ndarray]
 
 
-def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Reference | None:
-    """Sums over all documents that pass the base rules. What comes to the driver is a fixed number of
-    counts for each language."""
+_SUMS = "lang long, shard long, a binary, b binary"
+
+
+def _sums(docs: DataFrame, langs: list[str], text_col: str, lang_col: str) -> DataFrame:
+    """(lang, shard, a, b) over documents that pass the base rules: shard -1 has counts of classes (a), others
+    hashes of words (a) and their counts (b)."""
+    number = {x: i for i, x in enumerate(langs)}
+
+    def row(lang: int, shard: int, a: bytes, b: bytes = b"") -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.int64()), pa.array([shard], pa.int64()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], names=["lang", "shard", "a", "b"])
 
-    prepare(docs.sparkSession)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        classes: dict[int, np.ndarray] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            edges = np.arange(1, 1 << SHARD_BITS, dtype=np.uint64) << np.uint64(64 - SHARD_BITS)
+            for lang, parts in held.items():
+                words, n = _merged(parts)
+                cut = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+                for shard, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                    if hi > lo:
+                        yield row(lang, shard, words[lo:hi].tobytes(), pack(n[lo:hi]))
+            held.clear()
+
         for batch in batches:
             for part in pieces(batch, 1):
                 texts = Texts(part.column(1))
                 words = Words(texts)
                 good = ~base_counts(texts, words).failed
-                classes, bins, doc = histograms(texts, words)
-                langs = np.array(part.column(0).to_pylist(), object)
-                for lang in {x for x in langs.tolist() if x is not None}:
-                    of = good & (langs == lang)
-                    one = np.concatenate([classes[of].sum(axis=0), np.bincount(bins[of[doc]], minlength=BINS)])
-                    sums[lang] = sums.get(lang, 0) + one
-        for lang, one in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(one)), pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one.astype(np.int64))], names=["lang", "at", "n"])
-
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, at int, n long")
-    total: dict[str, np.ndarray] = {}
-    for r in rows.groupBy("lang", "at").agg(F.sum("n").alias("n")).where("n > 0").collect():
-        total.setdefault(r["lang"], np.zeros(len(CLASSES) + BINS))[r["at"]] = r["n"]
-    if not total:
+                of = np.array([number.get(x, -1) for x in part.column(0).to_pylist()], np.int64)
+                by_class, h, doc = class_counts(texts), words.hashes(lower=True), words.doc()
+                for lang in np.unique(of[good & (of >= 0)]).tolist():
+                    mine = good & (of == lang)
+                    classes[lang] = classes.get(lang, 0) + by_class[mine].sum(axis=0)
+                    found = np.unique(h[mine[doc]], return_counts=True)
+                    held.setdefault(lang, []).append(found)
+                    size += len(found[0])
+            if size >= HELD:
+                yield from out()
+                size = 0
+        yield from out()
+        for lang, one in classes.items():
+            yield row(lang, -1, one.astype(np.int64).tobytes())
+
+    return docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, _SUMS)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    n = np.zeros(len(words), np.int64)
+    np.add.at(n, at, np.concatenate([x for _, x in parts]))
+    return words, n
+
+
+def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Reference | None:
+    """Sums over all documents that pass the base rules; None if there are none with a language."""
+    scratch = Scratch(docs.sparkSession, "rules")
+    known = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
+    langs = sorted(r["lang"] for r in known.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    if not langs:
+        return None
+
+    def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(x.as_buffer(), y.as_buffer()) for b in run for x, y in zip(b.column(2), b.column(3), strict=True)]
+        if key[1] < 0:
+            h, n = np.arange(len(CLASSES)), sum(np.frombuffer(x, np.int64) for x, _ in rows)
+        else:
+            words, n = _merged([(np.frombuffer(x, np.uint64), unpack(y, np.int64)) for x, y in rows])
+            top = np.lexsort((words, -n))[:COMMON]
+            h, n = np.append(words[top].view(np.int64), 0), np.append(n[top], n.sum())
+        kind = np.full(len(h), 1 if key[1] < 0 else 2, np.int32)
+        if key[1] >= 0:
+            kind[-1] = 3
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key[0])), pa.array(kind), pa.array(h), pa.array(n)], names=["lang", "kind", "h", "n"])
+
+    found = scratch.write(map_runs(_sums(docs, langs, text_col, lang_col), ["lang", "shard"], [], add, "lang long, kind int, h long, n long"), "sums")
+    # in order of counts, then of hashes as unsigned numbers
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
+    words = found.where("kind = 2").withColumn("r", F.row_number().over(order)).where(F.col("r") <= COMMON).drop("r")
+    rows = words.unionByName(found.where("kind < 2")).unionByName(found.where("kind = 3").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))).collect()
+    scratch.clear()
+    some = sorted({r["lang"] for r in rows})
+    if not some:
         return None
-    k, classes, bins, words = len(CLASSES), [], [], []
-    for _, one in sorted(total.items()):
-        chars, counts = one[:k], one[k:]
-        top = np.argsort(-counts, kind="stable")[:COMMON]
+    classes, common, shares = [], [], []
+    for lang in some:
+        own = [r for r in rows if r["lang"] == lang]
+        chars = np.array([n for _, n in sorted((r["h"], r["n"]) for r in own if r["kind"] == 1)], float)
+        top = sorted((r["h"] % (1 << 64), r["n"]) for r in own if r["kind"] == 2)
+        total = next(r["n"] for r in own if r["kind"] == 3)
+        n = np.array([n for _, n in top], float)
         classes.append(chars / chars.sum())
-        bins.append(top)
-        words.append(np.append(counts[top], counts.sum() - counts[top].sum()) / counts.sum())
-    return Reference(np.array(classes), np.array(bins), np.array(words))
+        common.append(np.array([h for h, _ in top], np.uint64))
+        shares.append(np.append(n, total - n.sum()) / total)
+    return Reference([langs[x] for x in some], np.array(classes), common, shares)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -173,14 +241,15 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def divergences(texts: Texts, words: Words, ref: Reference) -> tuple[np.ndarray, np.ndarray]:
     """Distances (character classes, common words) from the nearest reference, less the allowance;
     0 where a guard says that the text is too short to tell."""
-    classes, bins, doc = histograms(texts, words)
+    classes, h, doc = class_counts(texts), words.hashes(lower=True), words.doc()
     chars = classes.sum(axis=1)
     p = classes / np.maximum(chars, 1)[:, None]
     by_class, by_word = [], []
-    for c, top, w in zip(ref.classes, ref.bins, ref.words, strict=True):
-        slot = np.full(BINS, COMMON)
-        slot[top] = np.arange(len(top))
-        hist = np.bincount(doc * (COMMON + 1) + slot[bins], minlength=texts.n * (COMMON + 1)).reshape(texts.n, COMMON + 1)
+    for c, common, w in zip(ref.classes, ref.common, ref.words, strict=True):
+        k = len(common) + 1
+        at = np.minimum(np.searchsorted(common, h), k - 2)
+        slot = np.where(common[at] == h, at, k - 1) if len(h) else at
+        hist = np.bincount(doc * k + slot, minlength=texts.n * k).reshape(texts.n, k)
         by_class.append(distance(p, c[None, :]))
         by_word.append(distance(hist / np.maximum(words.count, 1)[:, None], w[None, :]))
     by_class, by_word = np.array(by_class), np.array(by_word)

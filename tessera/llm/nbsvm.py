@@ -7,13 +7,15 @@ length. A hinge-loss model with L2 penalty is fitted by dual coordinate descent,
 Naive Bayes weights, and its margins are turned into probabilities by a logistic fit on margins of
 held-out folds, weighted to the classes' shares.
 
-The class counts cover every labelled training row; only the coordinate descent works on a bounded
-sample (SAMPLE rows of each class, by a hash of their id).
+The class counts cover every labelled training row; only the coordinate descent works on a bounded sample:
+of each class the SAMPLE ids with the least hashes, as far as their rows have SAMPLE_SLOTS indicators
+together. That is what the driver holds, whatever the length of the texts.
 
 Defined results: a null text counts as empty; an empty text has a score from the bias alone; several
 labels of a document are averaged, and a mean of 0.5 or more counts as 1; null labels and labels of
 unknown ids are ignored; with no or one class among the training rows every score is the share of label
-1 (0.5 without any); rows are scored one by one, repeated or not; other columns are ignored; no rows
+1 (0.5 without any); very long texts are counted and scored whole; equal rows of one id count each time but are
+sampled once; ties of hashes are settled by the indicators; rows are scored one by one, repeated or not; other columns are ignored; no rows
 give no rows.
 """
 
@@ -24,18 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import id_filter, map_runs, prepare, rows_in_filter
+from tessera.llm.shared import Scratch, added_up, id_filter, pack, prepare, rows_in_filter, unpack
 from tessera.llm.textkern import BASE, STEP, Texts, Words, mix, pieces
 
 SLOTS = 1 << 18
 BLOCKS = 64
 ALPHA = 1.0
-#: Rows of each class that the descent is fitted on, at most.
+#: Ids of each class that the descent is fitted on, and indicators of their rows, at most.
 SAMPLE = 2000
+SAMPLE_SLOTS = 1 << 22
 COST = 4.0
 EPOCHS = 30
 FOLDS = 3
@@ -98,7 +101,8 @@ def labels_of(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quali
 
 
 def class_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of each slot by class, rows by class) over all rows (text, y)."""
+    """(counts of each slot by class, rows by class) over all rows (text, y). Blocks of counts are added up
+    in two steps, so no task reads what all tasks send."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
@@ -112,19 +116,12 @@ def class_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if not rows.any():
             return
         blocks = total.reshape(2, BLOCKS, -1).transpose(1, 0, 2)
-        packed = [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes()) for x in blocks]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS + 1)), pa.array([*packed, zstandard.ZstdCompressor().compress(rows.tobytes())], pa.binary())], names=["block", "n"])
-
-    def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for b in run:
-            for x in b.column(1).to_pylist():
-                total = total + np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "n"])
+        packed = [pack(np.ascontiguousarray(x).ravel()) for x in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS + 1)), pa.array([*packed, pack(rows)], pa.binary())], names=["block", "n"])
 
     counts, rows = np.zeros((BLOCKS, 2, SLOTS // BLOCKS)), np.zeros(2)
-    for r in map_runs(texts.mapInArrow(count, "block long, n binary"), ["block"], [], add, "block long, n binary").collect():
-        got = np.frombuffer(r["n"], np.int64)
+    for r in added_up(texts.mapInArrow(count, "block long, n binary"), "block", "n", lambda x: unpack(x, np.int64), pack).collect():
+        got = unpack(r["n"], np.int64)
         if r["block"] < BLOCKS:
             counts[r["block"]] = got.reshape(2, -1)
         else:
@@ -237,13 +234,14 @@ def _blend(w: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Slots and labels of up to SAMPLE rows of each class, in the order of a hash of their ids."""
-    parts = []
+    """Slots and labels of the sample's rows, in the order of a hash of their ids."""
+    scratch, parts = Scratch(docs.sparkSession, "nbsvm"), []
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
     pool = ids.join(known, F.col("id") == F.col("lid")).select("id", "y").distinct().withColumn("h", F.xxhash64("id"))
     for k in (0, 1):
         parts.append(pool.where(F.col("y") == k).orderBy("h", "id").limit(SAMPLE))
     chosen = parts[0].union(parts[1]).select(F.col("id").alias("cid"), "y", "h")
+    # twice SAMPLE ids
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("cid")).select("text", "y", "h")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,10 +250,20 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> tu
                 doc, slot = features(Texts(part.column(0)))
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 slots = [slot[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(slots, pa.binary())], names=["y", "h", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in slots], pa.int64()), pa.array(slots, pa.binary())], names=["y", "h", "d", "x"])
 
-    rows = sorted(texts.mapInArrow(apply, "y int, h long, x binary").collect(), key=lambda r: (r["h"], r["x"]))
-    return [np.frombuffer(r["x"], np.int32) for r in rows], np.array([r["y"] for r in rows], np.int64)
+    rows = texts.mapInArrow(apply, "y int, h long, d long, x binary").groupBy("y", "h", "d").agg(F.first("x").alias("x"))
+    rows, out = scratch.write(rows, "sample"), []
+    for k in (0, 1):
+        own = rows.where(F.col("y") == k)
+        sizes = own.select("h", "d", (F.length("x") / 4).cast("long").alias("n")).orderBy("h", "d").limit(SAMPLE).collect()
+        fit = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), SAMPLE_SLOTS, "right"))
+        if fit:
+            last = F.struct(F.lit(sizes[fit - 1]["h"]).alias("h"), F.lit(sizes[fit - 1]["d"]).alias("d"))
+            out += own.where(F.struct("h", "d") <= last).collect()
+    scratch.clear()
+    out.sort(key=lambda r: (r["h"], r["d"]))
+    return [np.frombuffer(r["x"], np.int32) for r in out], np.array([r["y"] for r in out], np.int64)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +161,25 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable, sch
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
 
 
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def expand(raw) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Bytes of equal rank lie together, which is what makes small numbers compress."""
+    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def unpack(raw, kind: type) -> np.ndarray:
+    flat = np.frombuffer(expand(raw), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel()
+
+
 #: Rows of one key that are added up in one task, at most.
 SUMMED = 64
 

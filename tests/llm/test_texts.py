@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, brown_lm, crf_langid, divergence_rules, nbsvm
-from tessera.llm.shared import bit_of_id
+from tessera.llm.shared import bit_of_id, expand, unpack
 from tessera.llm.textkern import Texts, Words
 
 ODD = [None, "", " \n\t ", "x", "a\n\na\na \n", "12 34", "🙂 é 漢字", "word " * 5000, "\x00\x1c odd", "The cat sat. " * 3]
@@ -89,7 +89,7 @@ def test_rules(spark, sf):
         assert tuple(r)[1:7] == base(texts[r["doc_id"]]) and r["kept"] == (not r["base_failed"])
     real = spark.read.parquet(f"{sf}/documents.parquet")
     ref = divergence_rules.reference(real)
-    assert ref.classes.shape == (4, len(divergence_rules.CLASSES)) and np.allclose(ref.words.sum(axis=1), 1)
+    assert ref.classes.shape == (4, len(divergence_rules.CLASSES)) and np.allclose([w.sum() for w in ref.words], 1)
     got = {r["doc_id"]: r for r in divergence_rules.rules(real, ref).collect()}
     for r in real.collect():
         assert tuple(got[r["doc_id"]])[1:7] == base(r["text"])
@@ -117,6 +117,47 @@ def test_texts_without_common_words_are_not_kept(spark, sf):
         assert not r["base_failed"] and r["word_distance"] > divergence_rules.WORD_LIMIT and not r["kept"]
 
 
+def test_verdicts_match_brute_force(spark, sf):
+    """References, distances and verdicts by plain Python over whole texts."""
+    D = divergence_rules
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(9000 + i, t, None) for i, t in enumerate(ODD)] + [(9100, "a b c " * 30, "xx"), (9101, " ".join(map(str, range(100))), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    of = lambda w: int(Words(Texts(pa.array([w.decode()]))).hashes(lower=True)[0])
+    classes, common = {}, {}
+
+    def chars(text):
+        return Counter(int(D.CLASS_OF[b]) for b in (text or "").encode())
+
+    for _, text, lang in rows:
+        if lang is not None and not base(text)[5]:
+            classes.setdefault(lang, Counter()).update(chars(text))
+            common.setdefault(lang, Counter()).update((text or "").encode().lower().split())
+    top = {k: sorted(v, key=lambda w: (-v[w], of(w)))[: D.COMMON] for k, v in common.items()}
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        half = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return math.sqrt(max((half(p) + half(q)) / 2, 0))
+
+    got = {r["doc_id"]: r for r in D.rules(docs, D.reference(docs)).collect()}
+    for i, text, _ in rows:
+        own, words = chars(text), Counter((text or "").encode().lower().split())
+        n, c, best = sum(words.values()), sum(own[k] for k in range(len(D.CLASSES))), None
+        for lang in sorted(classes):
+            total, every = sum(classes[lang][k] for k in range(len(D.CLASSES))), sum(common[lang].values())
+            a = js([own[k] / max(c, 1) for k in range(len(D.CLASSES))], [classes[lang][k] / total for k in range(len(D.CLASSES))])
+            p = [words[w] / max(n, 1) for w in top[lang]]
+            q = [common[lang][w] / every for w in top[lang]]
+            b = js([*p, (n - sum(words[w] for w in top[lang])) / max(n, 1)], [*q, 1 - sum(q)])
+            if best is None or a + b < best[0] + best[1] - 1e-12:
+                best = a, b, len(top[lang]) + 1
+        off = lambda d, cells, size: math.sqrt(max(d * d - (cells - 1) / (8 * size * math.log(2)), 0))
+        a = 0.0 if c < D.GUARD_CHARS else off(best[0], len(D.CLASSES), c)
+        b = 0.0 if n < D.GUARD_WORDS else off(best[1], D.COMMON + 1, n)
+        assert got[i]["class_distance"] == pytest.approx(a, abs=1e-7) and got[i]["word_distance"] == pytest.approx(b, abs=1e-7), i
+        assert got[i]["kept"] == (not base(text)[5] and a <= D.CLASS_LIMIT and b <= D.WORD_LIMIT)
+
+
 def test_forward_backward_matches_enumeration(monkeypatch):
     import itertools
 
@@ -162,6 +203,76 @@ def test_languages(spark, monkeypatch):
     assert {(r["lang_pred"], r["score"]) for r in crf_langid.predict(docs.limit(3), one).collect()} == {("en", 1.0)}
 
 
+def test_training_sample_is_bounded(spark):
+    """Fifty languages with texts of 20000 words each reach the driver as a bounded number of words."""
+    import tracemalloc
+
+    rnd = random.Random(6)
+    rows = []
+    for k in range(50):
+        words = ["".join(rnd.choice("abcdefghijklmnop"[k % 8 : k % 8 + 8]) for _ in range(3)) + chr(97 + k % 25) + "xy"[k // 25] for _ in range(200)]
+        rows += [(100 * k + i, f"l{k:02}", " ".join(rnd.choices(words, k=20_000))) for i in range(4)]
+    rows += [(9000, "zh", "漢字" * 50_000), (9001, "zh", "漢字 " * 400), (9002, None, "x"), (9003, "l00", None), (None, "l01", "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(16)
+    pieces = crf_langid.sample(docs.union(docs.where("doc_id < 100")), F.lit(True))
+    count = Counter()
+    for lang, text in pieces:
+        count[lang] += len(text.split())
+        assert len(text.encode()) <= crf_langid.PIECE_BYTES
+    assert len(count) == 51 and max(count.values()) <= crf_langid.CELLS // 51**2 and min(count.values()) > 300
+    assert [x for x, _ in pieces] == sorted(x for x, _ in pieces)
+    # pieces come from all over a text
+    text = {i: x for i, _, x in rows}
+    places = [text[100].find(x) / len(text[100]) for lang, x in pieces if lang == "l01" and x in text[100]]
+    assert not places or max(places) > 0.2
+    tracemalloc.start()
+    model = crf_langid.train([x.encode() for _, x in pieces], [lang for lang, _ in pieces])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700e6
+    got = crf_langid.predict(docs.where("lang LIKE 'l%' AND doc_id % 100 = 3"), model).join(docs, "doc_id").select("lang", "lang_pred").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.9
+
+
+def test_class_counts_match_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where("quality IS NOT NULL").select("text", F.col("quality").cast("int").alias("y"))
+    counts, n = nbsvm.class_counts(rows.union(rows.limit(5)).repartition(5))
+    want = np.zeros((2, nbsvm.SLOTS))
+    given = [tuple(r) for r in rows.collect()] + [tuple(r) for r in rows.limit(5).collect()]
+    for text, y in given:
+        want[y, nbsvm.features(Texts(pa.array([text])))[1]] += 1
+    assert (counts == want).all() and n.tolist() == [sum(y == k for _, y in given) for k in (0, 1)]
+
+
+def test_descent_matches_a_plain_solver():
+    """Projected gradient steps on the dual problem lead to the same weights."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(8, rng.integers(1, 5), replace=False)) for _ in range(14)]
+    values = [rng.normal(size=len(x)) for x in rows]
+    y, cost = np.where(rng.random(14) < 0.5, 1.0, -1.0), rng.uniform(0.5, 3, 14)
+    x = np.zeros((14, 9))
+    for i, (at, v) in enumerate(zip(rows, values, strict=True)):
+        x[i, at], x[i, 8] = v, 1.0
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    a = np.zeros(14)
+    for _ in range(200_000):
+        a = np.clip(a - (q @ a - 1) * 0.02, 0, cost)
+    w = nbsvm.descend(rows, values, y, cost, epochs=5000)
+    want = (a * y) @ x
+    assert np.allclose(w[:8], want[:8], atol=2e-3) and w[-1] == pytest.approx(want[8], abs=2e-3) and not w[8:-1].any()
+
+
+def test_quality_sample_is_bounded(spark, sf, monkeypatch):
+    monkeypatch.setattr(nbsvm, "SAMPLE_SLOTS", 30_000)
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = nbsvm.labels_of(labels)
+    x, y = nbsvm._sample(docs.union(docs), known, "doc_id", "text")
+    assert {0, 1} == set(y.tolist()) and all(sum(len(v) for v, k in zip(x, y, strict=True) if k == c) <= 30_000 for c in (0, 1))
+    again, labels_again = nbsvm._sample(docs, known, "doc_id", "text")
+    assert len(x) == len(again) and all((a == b).all() for a, b in zip(x, again, strict=True)) and (y == labels_again).all()
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = bit_of_id("doc_id", 4) == 2
@@ -217,8 +328,8 @@ def classes_of(texts, rows):
     """The class of every word (None is an end), from the rows that the scores are made of."""
     class_of = {}
     for r in rows.where("unit = -1").collect():
-        who, n = np.frombuffer(brown_lm._expand(r["a"]), brown_lm._WHO), brown_lm._unpack(r["b"], np.int64)
-        k = np.frombuffer(brown_lm._expand(r["c"]), np.uint8)
+        who, n = np.frombuffer(expand(r["a"]), brown_lm._WHO), unpack(r["b"], np.int64)
+        k = np.frombuffer(expand(r["c"]), np.uint8)
         for i, part in zip(who["id"].tolist(), np.split(k, np.cumsum(n)[:-1]), strict=True):
             for w, x in zip([*(texts[i] or "").encode().lower().split(), None], part.tolist(), strict=True):
                 assert class_of.setdefault(w, x) == x
