@@ -17,10 +17,6 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def byte_length(text: Column) -> Column:
-    return F.octet_length(text)
-
-
 def bit_length(n: Column) -> Column:
     """Bits of a non-negative integer; 0 for 0."""
     return F.when(n > 0, F.length(F.bin(n))).otherwise(0)

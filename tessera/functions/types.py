@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import types as T
 
-from tessera.errors import StatementError
+from tessera.errors import TypeNameError
 
 #: Type names and what they store. FLOAT is 64 bits wide.
 TYPES: dict[str, T.DataType] = {
@@ -21,5 +21,5 @@ def parse_type(text: str) -> tuple[T.DataType, int | None]:
         return T.StringType(), int(m[1])
     name = text.strip().upper()
     if name not in TYPES:
-        raise StatementError(f"unknown type {text.strip()}")
+        raise TypeNameError(f"unknown type {text.strip()}")
     return TYPES[name], None

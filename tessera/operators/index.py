@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.errors import CatalogError, UniqueError
+from tessera.errors import KeyNotFoundError, UniqueError
 
 
 def point(df: DataFrame, key: str, value) -> DataFrame:
@@ -47,7 +47,7 @@ def inserted(df: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def removed(df: DataFrame, key: str, value) -> DataFrame:
-    """df without a key's rows; raises CatalogError if there are none."""
+    """df without a key's rows; raises KeyNotFoundError if there are none."""
     if not contains(df, key, value):
-        raise CatalogError(f"no key {value}")
+        raise KeyNotFoundError(f"no key {value}")
     return df.where(~F.col(key).eqNullSafe(F.lit(value)))

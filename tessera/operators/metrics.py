@@ -12,6 +12,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.errors import MetricError
+
 BUCKETS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0)
 
 
@@ -39,6 +41,11 @@ def bucket_percentile(p: float, buckets: tuple[float, ...]) -> Column:
     return F.when(F.col("count") > 0, out)
 
 
+def _escaped(value) -> str:
+    """A label's value as the text format wants it."""
+    return str(value).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+
+
 class Registry:
     """Metrics of a running database, rendered in the Prometheus text format."""
 
@@ -55,7 +62,7 @@ class Registry:
 
     def inc(self, name: str, amount: float = 1.0, text: str = "", **labels: str) -> None:
         if amount < 0:
-            raise ValueError("a counter cannot decrease")
+            raise MetricError("a counter cannot decrease")
         with self._lock:
             self._kinds.setdefault(name, ("counter", text))
             self._values[name][self._labels(labels)] += amount
@@ -65,6 +72,18 @@ class Registry:
             self._kinds.setdefault(name, ("gauge", text))
             self._values[name][self._labels(labels)] = value
 
+    def add(self, name: str, by: float, text: str = "", **labels: str) -> None:
+        """Raises or lowers a gauge."""
+        with self._lock:
+            self._kinds.setdefault(name, ("gauge", text))
+            self._values[name][self._labels(labels)] += by
+
+    def reset(self) -> None:
+        """Forgets all values."""
+        with self._lock:
+            for held in (self._values, self._kinds, self._bounds, self._histograms):
+                held.clear()
+
     def observe(self, name: str, value: float, text: str = "", buckets: tuple[float, ...] = BUCKETS, **labels: str) -> None:
         with self._lock:
             self._kinds.setdefault(name, ("histogram", text))
@@ -101,10 +120,10 @@ class Registry:
     def render(self) -> str:
         """All metrics in the Prometheus text format."""
         out = []
-        tags = lambda labels: "{" + ",".join(f'{k}="{v}"' for k, v in labels) + "}" if labels else ""
+        tags = lambda labels: "{" + ",".join(f'{k}="{_escaped(v)}"' for k, v in labels) + "}" if labels else ""
         with self._lock:
             for name, (kind, text) in sorted(self._kinds.items()):
-                out += [f"# HELP {name} {text}"] * bool(text) + [f"# TYPE {name} {kind}"]
+                out += ["# HELP {} {}".format(name, text.replace("\\", "\\\\").replace("\n", "\\n"))] * bool(text) + [f"# TYPE {name} {kind}"]
                 for labels, v in sorted(self._values.get(name, {}).items()):
                     out.append(f"{name}{tags(labels)} {v:g}")
                 for labels, row in sorted(self._histograms.get(name, {}).items()):

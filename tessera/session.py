@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from dataclasses import dataclass, field
@@ -60,6 +62,12 @@ def session(config: EngineConfig | None = None, master: str | None = None) -> Sp
     return builder.config(map=(config or EngineConfig()).settings()).getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for a Spark application, so that functions that run
     there can import it wherever it is installed on the driver."""
@@ -67,7 +75,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tessera_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera_package.zip"
+    folder = tempfile.mkdtemp(prefix="tessera-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "tessera_package.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for f in sorted(package.rglob("*.py")):
             out.write(f, f"{package.name}/{f.relative_to(package)}")

@@ -1,7 +1,8 @@
 """A columnar table in segments: batches are appended as Parquet, scans skip segments by zone maps.
 
-Every row carries its place (_row) and segment (_segment, at most segment_rows rows of one batch and
-one task). Parquet's own encodings, statistics and pruning store and read the columns; the zone maps and
+Every row carries its place (_row) and segment (_segment: at most segment_rows rows of one batch and
+one task, or what the caller says). A batch's zone maps are written with it, with the file of each segment, so
+a scan reads only the files that hold segments it wants. Parquet's own encodings, statistics and pruning store and read the columns; the zone maps and
 codec sizes here describe the logical segments.
 """
 
@@ -39,8 +40,9 @@ class ColumnStore:
         kind = T.StructType.fromDDL(f"c {kind}")[0].dataType if isinstance(kind, str) else kind
         self.schema = T.StructType([*self.schema.fields, T.StructField(name, kind)])
 
-    def insert(self, rows: DataFrame | Iterable[Mapping]) -> int:
-        """Appends a batch; missing columns are null. Returns the number of rows."""
+    def insert(self, rows: DataFrame | Iterable[Mapping], segment: Column | None = None) -> int:
+        """Appends a batch; missing columns are null. Returns the number of rows. segment: an expression over the
+        rows; they are then dealt to files by its ranges."""
         if not isinstance(rows, DataFrame):
             rows = self.spark.createDataFrame([tuple(r.get(c) for c in self.schema.names) for r in rows], self.schema)
         if unknown := set(rows.columns) - set(self.schema.names):
@@ -48,12 +50,20 @@ class ColumnStore:
         empty = self.spark.createDataFrame([], self.schema)
         number = len(self.batches)
         # the place counts up within a task, from a start that is the task's own
-        placed = conform(rows, empty).withColumn("_row", F.monotonically_increasing_id())
-        placed = placed.withColumn("_segment", F.concat_ws("-", F.lit(number), F.spark_partition_id(), F.expr(f"(_row & 8589934591) div {self.segment_rows}")))
+        placed = conform(rows, empty)
+        if segment is not None:
+            placed = placed.withColumn("_segment", segment).repartitionByRange("_segment").sortWithinPartitions("_segment")
+            placed = placed.withColumn("_segment", F.col("_segment").cast("string")).withColumn("_row", F.monotonically_increasing_id())
+        else:
+            placed = placed.withColumn("_row", F.monotonically_increasing_id())
+            placed = placed.withColumn("_segment", F.concat_ws("-", F.lit(number), F.spark_partition_id(), F.expr(f"(_row & 8589934591) div {self.segment_rows}")))
         folder = f"{self.path}/{uuid.uuid4().hex}"
-        placed.write.mode("error").parquet(folder)
+        placed.select(*self.schema.names, "_row", "_segment").write.mode("error").parquet(folder)
+        bounds = [f(c).alias(f"{name}_{c}") for c in self.schema.names for name, f in (("min", F.min), ("max", F.max), ("nulls", lambda c: F.count_if(F.col(c).isNull())))]
+        zones = self.spark.read.parquet(folder).withColumn("_file", F.input_file_name()).groupBy("_segment", "_file").agg(*bounds, F.count(F.lit(1)).alias("_rows"))
+        zones.write.mode("error").parquet(f"{folder}-zones")
         self.batches.append(folder)
-        return self.spark.read.parquet(folder).count()
+        return self.spark.read.parquet(f"{folder}-zones").agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
 
     def rows(self) -> DataFrame:
         """All rows with their places and segments."""
@@ -67,10 +77,33 @@ class ColumnStore:
 
     def scan_column(self, name: str, op: str | None = None, value=None) -> DataFrame:
         """A column's values in the segments that may hold `name op value`; rows are not filtered."""
-        rows = self.rows().select(self._known(name), "_segment")
-        if op is None:
-            return rows.select(name)
-        return columnar.zone_scan(rows, name, F.col("_segment"), op, value).select(name)
+        return self.scan_segments([name], name, op, value) if op else self.rows().select(self._known(name))
+
+    def scan_segments(self, columns: list[str], name: str, op: str, value) -> DataFrame:
+        """Columns (and _segment, if named) of the segments that may hold `name op value`. The list of files
+        comes from the stored zone maps, like the list that any scan makes of a folder."""
+        wanted = self._zones(name).where(columnar.may_match(op, value))
+        files = [r[0] for r in wanted.select("_file").distinct().collect()]
+        if not files:
+            return self.rows().limit(0).select(*columns)
+        whole = T.StructType([*self.schema.fields, T.StructField("_row", T.LongType()), T.StructField("_segment", T.StringType())])
+        keep = wanted.select(F.col("segment").alias("_wanted")).distinct()
+        return self.spark.read.schema(whole).parquet(*files).join(keep, F.col("_segment") == F.col("_wanted"), "left_semi").select(*columns)
+
+    def _zones(self, name: str) -> DataFrame:
+        """(segment, _file, min_value, max_value, null_count, row_count) of a column, as stored."""
+        kind = self.schema[self._known(name)].dataType
+        out = None
+        for folder in self.batches:
+            one = self.spark.read.parquet(f"{folder}-zones")
+            known = f"min_{name}" in one.columns
+            bounds = [(F.col(f"{x}_{name}") if known else F.lit(None)).cast(kind).alias(f"{x}_value") for x in ("min", "max")]
+            one = one.select(F.col("_segment").alias("segment"), "_file", *bounds, (F.col(f"nulls_{name}") if known else F.col("_rows")).alias("null_count"), F.col("_rows").alias("row_count"))
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("_file", T.StringType()), T.StructField("min_value", kind), T.StructField("max_value", kind), T.StructField("null_count", T.LongType()), T.StructField("row_count", T.LongType())])
+            return self.spark.createDataFrame([], schema)
+        return out
 
     def aggregate(self, measures: list[tuple[str, str, str | None]], by: list[str] | None = None, where: Column | None = None) -> DataFrame:
         """One row for each group: measures are (function, column or "*", name)."""
@@ -78,7 +111,9 @@ class ColumnStore:
         return aggregates.aggregate(rows, [aggregates.measure(f, c, a) for f, c, a in measures], by)
 
     def zone_maps(self, name: str) -> DataFrame:
-        return columnar.zone_maps(self.rows(), self._known(name), F.col("_segment"))
+        """The stored zone maps of a column: (segment, min_value, max_value, null_count, row_count)."""
+        whole = self._zones(name).groupBy("segment")
+        return whole.agg(F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.sum("null_count").alias("null_count"), F.sum("row_count").alias("row_count"))
 
     def compression(self, codecs: Mapping[str, str]) -> dict[str, float]:
         """Mean compression ratio of columns with a codec each (plain, rle, dictionary or bitpack)."""

@@ -32,9 +32,13 @@ def test_segments_and_skipping(spark, store, tmp_path):
     assert sum(z["row_count"] for z in zones) == 100 and all(z["row_count"] <= 10 for z in zones) and len(zones) >= 10
     got = [r["v"] for r in small.scan_column("v", ">=", 95).collect()]
     assert set(range(95, 100)) <= set(got) and len(got) <= 20
+    # one of four files is read
+    assert len(small.rows().inputFiles()) == 4 and len([f for f in small.scan_column("v", ">=", 95).inputFiles() if "-zones/" not in f]) == 1
+    assert small.scan_column("v", ">", 1000).count() == 0
     assert small.scan_column("v").count() == 100
     small.add_column("w", "string")
     small.insert([{"v": 1, "w": "x"}, {"v": None}])
+    assert sum(z["null_count"] for z in small.zone_maps("w").collect()) == 101 and small.scan_column("w", "=", "x").count() >= 1
     assert small.scan(where=F.col("w").isNull()).count() == 101 and small.scan(["w"], F.col("v") == 1).count() == 2
 
 
