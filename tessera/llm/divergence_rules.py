@@ -9,8 +9,8 @@ documents, which bounds what the driver holds. A document is judged by the langu
 for; a sampling allowance that shrinks with length is taken off the divergence, the distance's square.
 
 Defined results: null, empty and blank texts have no words, fail the base rules and are not kept; very long
-texts are judged whole; a null lang counts for no reference; ties among common words are settled by their
-hash, among languages by their name, among nearest references by the first; without any reference the base rules decide alone; repeated rows are
+texts are judged whole; a null lang counts for no reference; ties among languages are settled by their name, among
+nearest references by the first; without any reference the base rules decide alone; repeated rows are
 treated one by one; a null doc_id stays null; other columns are ignored; no rows give no rows.
 """
 
@@ -30,7 +30,8 @@ from tessera.llm.textkern import SPACE, Texts, Words, mix, pieces, span_hashes,
 WINDOW = 8
 MIN_WORDS = 20
 REPEATED_PERCENT = 30
-#: Common words of a language, and languages that have a reference.
+#: A language's common words are those that occur more often than its COMMON + 1st; so there are COMMON at
+#: most, and ties leave no choice. And languages that have a reference, at most.
 COMMON = 64
 LANGUAGES = 256
 #: Bits of the hash that deal words to shards, and words that a task holds before it passes them on.
@@ -199,7 +200,7 @@ def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             h, n = np.arange(len(CLASSES)), sum(np.frombuffer(x, np.int64) for x, _ in rows)
         else:
             words, n = _merged([(np.frombuffer(x, np.uint64), unpack(y, np.int64)) for x, y in rows])
-            top = np.lexsort((words, -n))[:COMMON]
+            top = np.lexsort((words, -n))[: COMMON + 1]
             h, n = np.append(words[top].view(np.int64), 0), np.append(n[top], n.sum())
         kind = np.full(len(h), 1 if key[1] < 0 else 2, np.int32)
         if key[1] >= 0:
@@ -207,9 +208,7 @@ def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key[0])), pa.array(kind), pa.array(h), pa.array(n)], names=["lang", "kind", "h", "n"])
 
     found = scratch.write(map_runs(_sums(docs, langs, text_col, lang_col), ["lang", "shard"], [], add, "lang long, kind int, h long, n long"), "sums")
-    # in order of counts, then of hashes as unsigned numbers
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    words = found.where("kind = 2").withColumn("r", F.row_number().over(order)).where(F.col("r") <= COMMON).drop("r")
+    words = found.where("kind = 2").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))).where(F.col("r") <= COMMON + 1).drop("r")
     rows = words.unionByName(found.where("kind < 2")).unionByName(found.where("kind = 3").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))).collect()
     scratch.clear()
     some = sorted({r["lang"] for r in rows})
@@ -219,7 +218,9 @@ def reference(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     for lang in some:
         own = [r for r in rows if r["lang"] == lang]
         chars = np.array([n for _, n in sorted((r["h"], r["n"]) for r in own if r["kind"] == 1)], float)
-        top = sorted((r["h"] % (1 << 64), r["n"]) for r in own if r["kind"] == 2)
+        top = [(r["h"] % (1 << 64), r["n"]) for r in own if r["kind"] == 2]
+        over = min(n for _, n in top) if len(top) > COMMON else 0
+        top = sorted(x for x in top if x[1] > over)
         total = next(r["n"] for r in own if r["kind"] == 3)
         n = np.array([n for _, n in top], float)
         classes.append(chars / chars.sum())
@@ -247,8 +248,8 @@ def divergences(texts: Texts, words: Words, ref: Reference) -> tuple[np.ndarray,
     by_class, by_word = [], []
     for c, common, w in zip(ref.classes, ref.common, ref.words, strict=True):
         k = len(common) + 1
-        at = np.minimum(np.searchsorted(common, h), k - 2)
-        slot = np.where(common[at] == h, at, k - 1) if len(h) else at
+        at = np.searchsorted(common, h)
+        slot = np.where(np.append(common, 0)[at] == h, at, k - 1)
         hist = np.bincount(doc * k + slot, minlength=texts.n * k).reshape(texts.n, k)
         by_class.append(distance(p, c[None, :]))
         by_word.append(distance(hist / np.maximum(words.count, 1)[:, None], w[None, :]))

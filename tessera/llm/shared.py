@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from typing import ClassVar
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import is_local, ship
 
 #: Bits of an id filter: 8 MB whatever the input, so it can always be broadcast.
 FILTER_BITS = 1 << 26
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
@@ -41,19 +42,31 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list]:
+    """A list of what is made of Scratch inside, by this thread alone."""
+    mine: list[Scratch] = []
+    before = _made.set(mine)
+    try:
+        yield mine
+    finally:
+        _made.reset(before)
+
+
 class Scratch:
     """Tables written once under a fresh folder of the shared directory, so that later stages,
     retries after a lost executor included, read files instead of recomputing lineage. What an operator
     returns may still read them: they stay until clear(), which a caller may use once results are written."""
 
-    #: Those of this application, in the order they were made.
-    made: ClassVar[list[Scratch]] = []
-
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         prepare(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        Scratch.made.append(self)
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, schema = f"{self.root}/{name}", df.schema
@@ -71,8 +84,6 @@ class Scratch:
     def clear(self) -> None:
         """Deletes all of its tables."""
         self._delete(self.root)
-        if self in Scratch.made:
-            Scratch.made.remove(self)
 
     def _delete(self, folder: str) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -260,6 +260,32 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {got[200 + i] for i in range(12)} == {"Title\nOne text.\nTwo texts."} and got[303] == "Other text 3 and more of it 9."
 
 
+def test_schedule_mixes_at_all_times(spark):
+    """Epochs are permuted, each in its own order; every stretch of the schedule has the sources' weights."""
+    rnd = random.Random(3)
+    rows = [(i, "a" if i % 10 < 8 else "bc"[i % 2], " ".join(["w"] * rnd.choice([5, 10, 15]))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted(mixing.schedule(docs, budget="cover").collect(), key=lambda r: (r["time"], r["source"], r["block"], r["place"]))
+    total, weight = sum(r["n_tokens"] for r in got), {r["source"]: r["weight"] for r in got}
+    assert all(0 <= r["time"] <= 1 for r in got)
+    for k in range(4):
+        part = got[k * len(got) // 4 : (k + 1) * len(got) // 4]
+        tokens = sum(r["n_tokens"] for r in part)
+        assert tokens == pytest.approx(total / 4, rel=0.03)
+        for s, w in weight.items():
+            assert sum(r["n_tokens"] for r in part if r["source"] == s) / tokens == pytest.approx(w, rel=0.15)
+    by_epoch = {}
+    for r in got:
+        if r["source"] == "b":
+            by_epoch.setdefault(r["epoch"], []).append(r["doc_id"])
+    first, second = by_epoch[1], by_epoch[2]
+    assert len(set(first)) == len(first) and set(second) <= set(first) and second != [x for x in first if x in set(second)]
+    assert first != sorted(first)
+    # mix writes this order
+    written = [r["doc_id"] for r in mixing.mix(docs, budget="cover").collect()]
+    assert written == [r["doc_id"] for r in got]
+
+
 def test_mixing_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0
