@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.textkern import release
 from tessera.session import is_local, ship
 
 #: Bits of an id filter: 8 MB whatever the input, so it can always be broadcast.
@@ -167,6 +168,7 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable, sch
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, run in in_runs(batches, len(keys)):
             yield from fn(key, run)
+        release()
 
     dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
