@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.errors import StatementError
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "cross": "cross", "full": "full", "semi": "left_semi", "anti": "left_anti"}
-HINTS = {"hash": "shuffle_hash", "merge": "merge", "nested_loop": "shuffle_replicate_nl"}
+HINTS = {"hash": "shuffle_hash", "merge": "merge"}
 
 
 def scan(df: DataFrame, columns: list[str] | None = None, where: list[Column] | None = None, alias: str | None = None, prefix: bool = False) -> DataFrame:
