@@ -66,10 +66,10 @@ def codes(x: np.ndarray) -> np.ndarray:
     return np.packbits(x @ planes >= 0, axis=1).view(np.uint64)
 
 
-def far(cosine: float = COSINE) -> int:
-    """In how many signs the codes of linked vectors differ at most, but for chance."""
+def far(cosine: float = COSINE, signs: int = CODE) -> int:
+    """In how many of so many signs the codes of linked vectors differ at most, but for chance."""
     p = 1 - agree(cosine)
-    return math.ceil(CODE * p + SPREAD * math.sqrt(CODE * p * (1 - p)))
+    return math.ceil(signs * p + SPREAD * math.sqrt(signs * p * (1 - p)))
 
 
 def _signatures(x: np.ndarray, planes: np.ndarray, signs: int, tables: int) -> np.ndarray:
@@ -165,7 +165,14 @@ _MEMBERS = "dim int, tab int, bucket long, i long, j long, own long, id long"
 _KEYS = ["dim", "tab", "bucket", "i", "j"]
 
 
-def _maybe_linked(dealt: DataFrame, most: int) -> DataFrame:
+def near_codes(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows of a, rows of b) whose codes are near: by their first 64 signs, then by all."""
+    i, j = np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= far(cosine, 64))
+    near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= far(cosine)
+    return i[near], j[near]
+
+
+def _maybe_linked(dealt: DataFrame, cosine: float) -> DataFrame:
     """The dealt members whose code is near another's in the block that theirs meets: as many rows as
     went in at most."""
 
@@ -177,11 +184,10 @@ def _maybe_linked(dealt: DataFrame, most: int) -> DataFrame:
         hit = np.zeros(len(block), bool)
         for lo in range(0, len(left), 16):
             some = left[lo : lo + 16]
-            near = np.bitwise_count(code[some][:, None, :] ^ code[right][None, :, :]).sum(axis=2, dtype=np.int64) <= most
-            if key[3] == key[4]:
-                near &= some[:, None] != right[None, :]
-            hit[some] |= near.any(axis=1)
-            hit[right] |= near.any(axis=0)
+            a, b = near_codes(code[some], code[right], cosine)
+            other = some[a] != right[b]
+            hit[some[a[other]]] = True
+            hit[right[b[other]]] = True
         yield from rows.drop_columns(["code"]).filter(pa.array(hit)).to_batches()
 
     return map_runs(dealt, _KEYS, [], compare, _MEMBERS)
@@ -237,7 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = scratch.write(grouped.withColumn("number", F.monotonically_increasing_id()), "classes")
     signs, tables = plan(classes.count(), cosine, miss)
     kind = _kind(df, vector_col)
-    maybe = scratch.write(_maybe_linked(_blocks(scratch.write(_buckets(classes, signs, tables, kind), "buckets")), far(cosine)), "maybe")
+    maybe = scratch.write(_maybe_linked(_blocks(scratch.write(_buckets(classes, signs, tables, kind), "buckets")), cosine), "maybe")
     scratch.drop("buckets")
     full = maybe.join(classes.select(F.col("number").alias("c"), "weight", "x"), F.col("id") == F.col("c"))
     found = scratch.write(_compare(full.select("dim", "tab", "bucket", "i", "j", "own", "id", "weight", "x"), signs, tables, cosine, kind), "found")

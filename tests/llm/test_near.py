@@ -195,7 +195,10 @@ def test_recall_of_tables_and_codes():
     planes = V._planes(dim, signs, tables)
     met = (V._signatures(a, planes, signs, tables) == V._signatures(b, planes, signs, tables)).any(axis=1)
     far = np.bitwise_count(V.codes(a) ^ V.codes(b)).sum(axis=1)
-    assert (~met).sum() <= 1 and (far > V.far()).sum() == 0
+    first = np.bitwise_count(V.codes(a)[:, 0] ^ V.codes(b)[:, 0])
+    assert (~met).sum() <= 1 and (far > V.far()).sum() == 0 and (first > V.far(signs=64)).sum() == 0
+    i, j = V.near_codes(V.codes(a[:300]), V.codes(b[:300]), 0.95)
+    assert i.tolist() == j.tolist() == list(range(300))
     assert np.bitwise_count(V.codes(a) ^ V.codes(a[::-1])).sum(axis=1).min() > V.far()
 
 
