@@ -23,6 +23,7 @@ are 0, nothing is known and all words are unseen; other columns are ignored; no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -42,6 +43,8 @@ ROUNDS = 8
 #: Bytes of text in one group, and entries of word lists in one shard.
 GROUP = 64 << 20
 SHARD = 1 << 21
+#: A group's id is its number in the task that makes it, and above that the task's.
+TASK_SHIFT = 24
 #: Contexts that a task holds before it passes them on, and words judged at once.
 HELD = 1 << 21
 JUDGED = 1 << 13
@@ -113,7 +116,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
         number, seq, group = 0, 0, _Group()
 
         def row(kind: int, *parts: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([task << 24 | number], pa.int64()), pa.array([kind], pa.int32()), pa.array([seq], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["gid", "kind", "seq", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array([task << TASK_SHIFT | number], pa.int64()), pa.array([kind], pa.int32()), pa.array([seq], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["gid", "kind", "seq", "a", "b", "c"])
 
         def words() -> pa.RecordBatch:
             return row(0, pack(np.concatenate(group.hashes)), pack(group.counts), b"")
@@ -165,6 +168,11 @@ def _requests(tokens: DataFrame, bits: int) -> DataFrame:
     return tokens.where("kind = 0").select("gid", "a", "b").mapInArrow(apply, _REQUESTS)
 
 
+def _by_shard(bits: int) -> tuple[int, Column]:
+    """A partition for each shard."""
+    return 1 << bits, F.col("shard")
+
+
 def _gathered(run: Iterator[pa.RecordBatch]) -> tuple[list, list, list, list]:
     """Of a shard's rows: groups, their word lists and counts, and the context lists (gid -1)."""
     gids, lists, counts, contexts = [], [], [], []
@@ -190,7 +198,7 @@ def _totals(lists: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarr
 _HEADS = "kind int, h long, n long"
 
 
-def _heads(requests: DataFrame, common: int) -> DataFrame:
+def _heads(requests: DataFrame, common: int, bits: int) -> DataFrame:
     """For each shard its commonest words (kind 0: hash, count) and its totals (kind 1: words, tokens)."""
 
     def add(key: tuple, run: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +209,7 @@ def _heads(requests: DataFrame, common: int) -> DataFrame:
         h, n = np.append(words[top].view(np.int64), (total > 0).sum()), np.append(total[top], total.sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(top), np.int32), np.int32(1))), pa.array(h), pa.array(n)], names=["kind", "h", "n"])
 
-    return map_runs(requests, ["shard"], ["gid"], add, _HEADS)
+    return map_runs(requests, ["shard"], ["gid"], add, _HEADS, _by_shard(bits))
 
 
 def _matrix(parts: DataFrame, size: int) -> np.ndarray:
@@ -414,7 +422,7 @@ def best_classes(at: np.ndarray, context: np.ndarray, n: np.ndarray, words: int,
     return best
 
 
-def _replies(asked: DataFrame, model) -> DataFrame:
+def _replies(asked: DataFrame, model, bits: int) -> DataFrame:
     """Rows of kind 1 answer a group's request with corpus counts and classes, in its order. Rows of
     kind 3 hold a shard's tokens and distinct words by class."""
 
@@ -445,13 +453,23 @@ def _replies(asked: DataFrame, model) -> DataFrame:
             yield row(1, gid, total[mine], squeeze(k[mine].astype(np.uint8).tobytes()))
             at += len(one)
 
-    return map_runs(asked, ["shard"], ["gid"], add, _TOKENS)
+    return map_runs(asked, ["shard"], ["gid"], add, _TOKENS, _by_shard(bits))
 
 
 _CLASSED = "unit long, a binary, b binary, c binary, d binary"
 
 
-def _classed(rows: DataFrame, groups: int) -> DataFrame:
+def _by_group(groups: int, tasks: int) -> tuple[int, Column]:
+    """A partition for each group: groups of equal number, and those of one task, never share one, and
+    none does where tasks have equally many groups."""
+    most = max(groups, tasks, 2)
+    while any(most % x == 0 for x in range(2, math.isqrt(most) + 1)):
+        most += 1
+    number, task = F.col("gid").bitwiseAND((1 << TASK_SHIFT) - 1), F.shiftright("gid", TASK_SHIFT)
+    return most, F.pmod(number * F.lit(tasks) + task, F.lit(most))
+
+
+def _classed(rows: DataFrame, place: tuple[int, Column]) -> DataFrame:
     """From each group's word list, the replies to it and its bundles: class bigrams of its training
     documents (unit is the class before, a the counts), and bundles (unit -1) of documents with token
     counts, the classes of the tokens, and the sums of known tokens and of log10(count + 1) of tokens and words."""
@@ -490,7 +508,7 @@ def _classed(rows: DataFrame, groups: int) -> DataFrame:
         for i in np.flatnonzero(matrix.any(axis=1)).tolist():
             yield row(i, pack(matrix[i]), b"", b"", b"")
 
-    return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED, partitions=4 * groups)
+    return map_runs(rows, ["gid"], ["kind", "seq"], apply, _CLASSED, place)
 
 
 def settle(now: np.ndarray, unseen: np.ndarray) -> np.ndarray:
@@ -552,12 +570,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     tokens = scratch.write(_tokens(given), "tokens")
     # compressed lists take about 8 bytes an entry
-    size, groups = tokens.where("kind = 0").agg(F.sum(F.length("a")), F.count("*")).first()
+    size, groups, last = tokens.where("kind = 0").agg(F.sum(F.length("a")), F.count("*"), F.max(F.shiftright("gid", TASK_SHIFT))).first()
     bits = max(0, int((size or 0) // 8 // SHARD)).bit_length()
-    found = _model(scratch.write(_heads(_requests(tokens, bits), common), "heads"), given, common)
+    found = _model(scratch.write(_heads(_requests(tokens, bits), common, bits), "heads"), given, common)
     model = spark.sparkContext.broadcast(found)
     # contexts outnumber words
     bits += 2
-    replies = scratch.write(_replies(_requests(tokens, bits).union(_contexts(given, model, bits)), model), "replies")
-    classed = scratch.write(_classed(tokens.union(replies.where("kind = 1")), max(1, groups)), "classed")
+    replies = scratch.write(_replies(_requests(tokens, bits).union(_contexts(given, model, bits)), model, bits), "replies")
+    classed = scratch.write(_classed(tokens.union(replies.where("kind = 1")), _by_group(groups, (last or 0) + 1)), "classed")
     return _scores(classed, spark.sparkContext.broadcast(_settled(found, replies, classed)))

@@ -11,7 +11,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.textkern import release
@@ -162,15 +162,16 @@ def in_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         head = state["next"]
 
 
-def map_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str, partitions: int | None = None) -> DataFrame:
-    """fn(key, batches) -> batches for each run of equal integer keys (the first columns of df)."""
+def map_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str, place: tuple[int, Column] | None = None) -> DataFrame:
+    """fn(key, batches) -> batches for each run of equal integer keys (the first columns of df). place: how
+    many partitions, and each row's among them by its keys; else keys are dealt by a hash."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, run in in_runs(batches, len(keys)):
             yield from fn(key, run)
         release()
 
-    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    dealt = df.repartitionById(place[0], place[1].cast("int")) if place else df.repartition(*keys)
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
 
 
