@@ -45,6 +45,8 @@ CHUNK = 64
 EPOCHS = 12
 RATE = 0.5
 DECAY = 1e-6
+#: Splits of a language's ids that are ranked together at each step of drawing the sample.
+SPLIT = 8
 #: A lexicon word: seen so often in the sample, with such a share in one language.
 LEXICON_COUNT, LEXICON_SHARE = 5, 0.8
 UNKNOWN = "und"
@@ -236,10 +238,13 @@ def sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: st
     if not langs:
         return []
     ids = own.where(F.col(id_col).isNotNull() & F.col(lang_col).isin(langs)).select(F.col(id_col).alias("cid"), F.col(lang_col).alias("clang"), F.xxhash64(id_col).alias("h"))
-    # the least hashes of each language: first of each split, then of all, so no language meets in one task
-    ranked = ids.withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(64)))
-    some = ranked.withColumn("r", F.row_number().over(Window.partitionBy("clang", "part").orderBy("h", "cid"))).where(F.col("r") <= SAMPLE)
-    best = some.withColumn("r", F.row_number().over(Window.partitionBy("clang").orderBy("h", "cid"))).where(F.col("r") <= SAMPLE).select("cid", "clang")
+    # the least hashes of each language: of each split, of splits of these, then of all, so a task of the last
+    # steps has SPLIT * SAMPLE ids at most, and no language meets in one
+    best = ids
+    for k in (2, 1, 0):
+        part = F.pmod(F.shiftright("h", 8), F.lit(SPLIT**k))
+        best = best.withColumn("r", F.row_number().over(Window.partitionBy("clang", part).orderBy("h", "cid"))).where(F.col("r") <= SAMPLE).drop("r")
+    best = best.select("cid", "clang")
     texts = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # LANGUAGES * SAMPLE ids at most
     texts = texts.join(F.broadcast(best), (F.col("id") == F.col("cid")) & (F.col("lang") == F.col("clang"))).select("lang", F.xxhash64("id").alias("h"), "text")
