@@ -53,6 +53,8 @@ COLUMNS = 8192
 ROWS = 16
 #: Members of one leader that are verified in one task at a time.
 STAR = 1024
+#: Rows of a bucket that are joined in one task with what is known of the bucket, on average.
+SPREAD = 512
 #: Any odd-looking bits: they set the order in which ids become leaders.
 SCRAMBLE = 0x5851F42D4C957F2D
 
@@ -260,12 +262,23 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _of_bucket(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """rows (key, id, c, ...) joined with what is known (k, kc, ...) of their buckets; c and kc are a bucket's
+    size, by which its rows are dealt to several tasks."""
+    parts = lambda c: F.ceil(F.col(c) / SPREAD).cast("long")
+    dealt = known.withColumn("kp", F.explode(F.sequence(F.lit(0).cast("long"), parts("kc") - 1))).drop("kc")
+    own = rows.withColumn("p", F.pmod(F.xxhash64("id"), parts("c")))
+    return own.join(dealt, (F.col("key") == F.col("k")) & (F.col("p") == F.col("kp")), how)
+
+
+def _blocks(members: DataFrame, size_col: str | None = None) -> DataFrame:
     """Members (key, id, component, n_shingles, regs) of buckets, dealt so that each two blocks of a
-    bucket meet once: (key, i, j, own, ...), own being i or j."""
+    bucket meet once: (key, i, j, own, ...), own being i or j. size_col: a bound of the members of each
+    one's bucket, where it is known."""
+    members = members.withColumn("c", F.col(size_col) if size_col else F.lit(1))
     size = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
-    count = members.groupBy(F.col("key").alias("k")).agg(F.ceil(size).cast("long").alias("blocks"))
-    own = members.join(count, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    count = members.groupBy(F.col("key").alias("k")).agg(F.ceil(size).cast("long").alias("blocks"), F.max("c").alias("kc"))
+    own = _of_bucket(members, count, "inner").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "regs")
 
@@ -361,13 +374,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = _joined(scratch.write(verified(rest, docs, id_col, text_col, words, percent), "links-2"), parts, scratch, 2)
     # with its star done, a bucket of two is done
     spans = label(buckets.where("c > 2"), "id", "component")
-    torn = spans.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    spans = spans.where("id <> a").join(torn, F.col("key") == F.col("k"), "left_semi").select("key", "id", "component")
+    torn = spans.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("c").alias("kc")).where("lo <> hi")
+    spans = _of_bucket(spans.where("id <> a"), torn, "left_semi").select("key", "id", "c", "component")
     spans = scratch.write(spans, "spans")
     if not spans.isEmpty():
         of = classes.select(F.col("id").alias("cid"), "n_shingles", "regs")
-        members = spans.join(of, F.col("id") == F.col("cid")).select("key", "id", "component", "n_shingles", "regs")
-        maybe = scratch.write(_maybe_linked(_blocks(members), percent), "maybe")
+        members = spans.join(of, F.col("id") == F.col("cid")).select("key", "id", "c", "component", "n_shingles", "regs")
+        maybe = scratch.write(_maybe_linked(_blocks(members, "c"), percent), "maybe")
         if not maybe.isEmpty():
             full = _set_rows(docs, maybe.select("id"), id_col, text_col, words)
             dealt = maybe.join(full, F.col("id") == F.col("sid")).select("key", "i", "j", "own", "id", "component", "shingles")
