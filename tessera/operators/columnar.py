@@ -6,6 +6,9 @@ segment's size: segments are found without a global order and without gathering
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +46,11 @@ def may_match(op: str, value) -> Column:
     return known[op]
 
 
-def zone_scan(df: DataFrame, column: str, segment: Column, op: str, value) -> DataFrame:
-    """All rows of the segments that may match; rows are not filtered, segments are."""
-    wanted = zone_maps(df, column, segment).where(may_match(op, value)).select(F.col("segment").alias("_wanted"))
+def zone_scan(df: DataFrame, column: str, segment: Column, op: str, value, *others: tuple) -> DataFrame:
+    """All rows of the segments that may match; rows are not filtered, segments are. others: further (op, value),
+    one of which is enough."""
+    test = reduce(or_, (may_match(*t) for t in ((op, value), *others)))
+    wanted = zone_maps(df, column, segment).where(test).select(F.col("segment").alias("_wanted"))
     return df.withColumn("segment", segment).join(wanted, F.col("segment") == F.col("_wanted"), "left_semi")
 
 

@@ -262,7 +262,7 @@ def _order_store(spark: SparkSession, sf: str) -> ColumnStore:
 
 
 _add("zone_map_scan", "SELECT o_orderkey, o_orderkey // 4096 AS segment FROM orders WHERE o_orderkey // 4096 IN (SELECT o_orderkey // 4096 FROM orders GROUP BY 1 HAVING max(o_orderkey) >= 9000)", lambda s, d: _order_store(s, d).scan_segments(["o_orderkey", "_segment"], "o_orderkey", ">=", 9000).select("o_orderkey", C("_segment").cast("long").alias("segment")))
-_add("zone_map_scan_unmanaged", "SELECT o_orderkey, o_orderkey // 4096 AS segment FROM orders WHERE o_orderkey // 4096 IN (SELECT o_orderkey // 4096 FROM orders GROUP BY 1 HAVING max(o_custkey) >= 9000 OR min(o_custkey) < 50)", lambda s, d: columnar.zone_scan(_orders(s, d).select("o_orderkey", "o_custkey"), "o_custkey", _seg(), "<", 50).drop("o_custkey"))
+_add("zone_map_scan_unmanaged", "SELECT o_orderkey, o_orderkey // 4096 AS segment FROM orders WHERE o_orderkey // 4096 IN (SELECT o_orderkey // 4096 FROM orders GROUP BY 1 HAVING max(o_custkey) >= 9000 OR min(o_custkey) < 50)", lambda s, d: columnar.zone_scan(_orders(s, d).select("o_orderkey", "o_custkey"), "o_custkey", _seg(), ">=", 9000, ("<", 50)).drop("o_custkey"))
 _coded = lambda s, d: _orders(s, d).withColumn("v", F.nullif("o_orderpriority", F.lit("3-MEDIUM")))
 _DECODED = "SELECT o_orderkey // 4096 AS segment, row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) - 1 AS place, {} AS value FROM orders"
 _PRIORITY = _DECODED.format("nullif(o_orderpriority, '3-MEDIUM')")
